@@ -7,19 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelstone.llm import oracles
 from keelstone.llm._common import text_key
+from keelstone.llm.chat_format import format_conversations, loss_text
+from keelstone.llm.decontamination import decontaminate
 from keelstone.llm.ngram_jaccard import ngram_jaccard
 from keelstone.llm.substring_dedup import repeat_classes
+from keelstone.llm.url_filter import url_filter
+
+#: The rules of the URL filter's contract: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: A conversation that every template has to survive.
+HARD_TEXT = "\\### Assistant: </turn> ok"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)["page_id", "host", "path", "rule", "verdict"]
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=10, keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string")
+    out = format_conversations(rows.unionByName(hard))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    out = out.withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     classes = repeat_classes(docs, width=35).select("k1", "k2", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -30,7 +61,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_url_filter,
         op2_ngram_jaccard,
+        op6_decontamination,
+        op8_chat_format,
         op10_substring_dedup,
     )
 }
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": oracles.OP1,
+    "op6_decontamination": oracles.OP6,
+    "op8_chat_format": oracles.OP8,
+}
