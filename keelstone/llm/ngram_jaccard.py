@@ -21,7 +21,7 @@ distinct texts:
 Since the result is the components, pairs that are already in one component are
 never expanded: each posting list is compared with a few of its groups (hubs), the
 links found are closed, and the lists that still hold several components go on
-with eight times as many hubs, until every pair of a list has been compared or is
+with more hubs, at last with all, until every pair of a list has been compared or is
 connected.  A clique of near copies takes a linear number of comparisons,
 while no link between different components can be missed.
 """
@@ -38,10 +38,8 @@ from keelstone.llm._common import materialise, parts_for, text_bytes, text_key
 from keelstone.llm._words import Buckets, chunks, ngrams, word_hashes
 from keelstone.llm.components import connected
 
-#: Groups of a posting list that the first round compares with all others.
-HUBS = 2
-#: Hubs of each later round, as a multiple of the last round's.
-MORE_HUBS = 8
+#: Groups of a posting list that a round compares with all others; the last round compares all that are still apart.
+HUBS = (2, 64, None)
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -176,20 +174,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return met.where(F.lit(den) * both >= F.lit(num) * (F.col("xn") + F.col("yn") - both)).select("x", "y")
 
 
-def _candidates(posts: DataFrame, hubs: int, num: int, den: int) -> DataFrame:
+def _postings(subs: DataFrame) -> DataFrame:
+    """Places of prefix shingles in subgroups, for shingles that still hold several components.
+
+    ``sid`` and ``cid`` stand for a subgroup and its component; ``rank`` orders the
+    subgroups of a shingle, those with the fewest shingles of their own first, as the
+    least altered copy of a text has the most links.
+    """
+    posts = subs.select("sid", "cid", "n", "own", F.posexplode_outer("prefix").alias("i", "token"))
+    whole = Window.partitionBy("token")
+    posts = posts.select(
+        "token", "sid", "cid", "n", (F.col("own") + F.col("i")).alias("pos"), F.row_number().over(whole.orderBy("own", "sid")).alias("rank"),
+        F.min("cid").over(whole).alias("low"), F.max("cid").over(whole).alias("high"), F.count(F.lit(1)).over(whole).alias("size"),
+    )
+    return posts.where("low <> high").drop("low", "high")
+
+
+def _candidates(posts: DataFrame, hubs: int | None, num: int, den: int) -> DataFrame:
     """Pairs of subgroups of different components that share a prefix shingle, one of them a hub, within the bounds."""
-    rank = Window.partitionBy("token").orderBy("order", "sub")
-    hub = posts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs)
-    hub = hub.select("token", *[F.col(c).alias(f"h_{c}") for c in ("sub", "rep", "comp", "n", "pos", "m", "order")])
-    met = hub.join(posts, "token").where((F.col("h_comp") != F.col("comp")) & (F.col("h_sub") != F.col("sub")))
-    size = (den * F.least("n", "h_n") >= num * F.greatest("n", "h_n"))
-    # both sets have at most this many common shingles, from here on and before
-    most = F.least("pos", "h_pos") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("h_n") - F.col("h_pos") - 1)
+    hub = posts if hubs is None else posts.where(F.col("rank") <= hubs)
+    hub = hub.select("token", *[F.col(c).alias(f"h_{c}") for c in ("sid", "cid", "n", "pos", "rank")])
+    met = hub.join(posts, "token").where((F.col("h_rank") < F.col("rank")) & (F.col("h_cid") != F.col("cid")))
+    size = den * F.least("n", "h_n") >= num * F.greatest("n", "h_n")
+    # If this is the first shingle that they share, all others come after it in both; a pair that links passes there.
+    most = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("h_n") - F.col("h_pos") - 1)
     bound = (den + num) * most >= num * (F.col("n") + F.col("h_n"))
-    low = F.col("rep") < F.col("h_rep")
-    one = [F.when(low, F.col(c)).otherwise(F.col(f"h_{c}")).alias(f"{c}1") for c in ("sub", "rep", "m")]
-    two = [F.when(low, F.col(f"h_{c}")).otherwise(F.col(c)).alias(f"{c}2") for c in ("sub", "rep", "m")]
-    return met.where(size & bound).select(*one, *two).dropDuplicates(["rep1", "rep2"])
+    return met.where(size & bound).select(F.least("sid", "h_sid").alias("sid1"), F.greatest("sid", "h_sid").alias("sid2")).distinct()
 
 
 def _closed(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -210,20 +220,17 @@ def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
     comps = nodes.select("node", F.col("node").alias("comp"))
     comps = materialise(_closed(comps, materialise(_verified(star, nodes, num, den), "links")), "comps")
     tested = None
-    hubs = HUBS
-    while True:
-        subs = nodes.select("node", "n", "own", "prefix", F.struct("g1", "g2").alias("grp")).join(comps, "node")
-        member = subs.select("node", F.struct("grp", "comp").alias("sub"))
-        subs = subs.groupBy("grp", "comp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix"))
-        # A fixed order of hubs, the same in all lists: large groups first, then by hash.
-        subs = subs.select(F.struct("grp", "comp").alias("sub"), "comp", "rep", "m", "n", "own", "prefix", F.struct((-F.col("m")).alias("a"), F.xxhash64("rep").alias("b")).alias("order"))
-        posts = subs.select("sub", "comp", "rep", "m", "n", "order", "own", F.posexplode("prefix").alias("i", "token")).withColumn("pos", F.col("own") + F.col("i")).drop("i", "own")
-        mixed = posts.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("token", "size")
-        posts = materialise(posts.join(mixed, "token"), "posts")
+    for hubs in HUBS:
+        subs = nodes.select("node", "n", "own", "prefix", F.struct("g1", "g2").alias("grp")).join(comps, "node").withColumn("sid", F.xxhash64("grp", "comp"))
+        member = subs.select("sid", "node")
+        subs = materialise(subs.groupBy("sid", "comp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix")), "subs")
+        posts = materialise(_postings(subs.select("sid", F.xxhash64("comp").alias("cid"), "n", "own", "prefix")), "posts")
         longest = posts.agg(F.max("size").alias("s")).first()["s"]
         if longest is None:
             return comps
-        pairs = _candidates(posts, hubs, num, den)
+        met = _candidates(posts, hubs, num, den)
+        one, two = (subs.select(F.col("sid").alias(f"sid{i}"), F.col("rep").alias(f"rep{i}"), F.col("m").alias(f"m{i}")) for i in (1, 2))
+        pairs = met.join(one, "sid1").join(two, "sid2")
         if tested is not None:  # larger groups may have gained members since
             pairs = pairs.join(tested.withColumn("old", F.lit(True)), ["rep1", "rep2"], "left").where("old is null or m1 > 1 or m2 > 1").drop("old")
         pairs = materialise(pairs, "pairs")
@@ -234,14 +241,15 @@ def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
         if not wide.isEmpty():
             root = comps.select(F.col("node").alias("rep1"), F.col("comp").alias("c1"))
             apart = wide.join(root, "rep1").join(root.select(F.col("rep1").alias("rep2"), F.col("c1").alias("c2")), "rep2").where("c1 <> c2")
-            first = apart.select(F.col("sub1").alias("sub"), "sub2").join(member, "sub").select(F.col("sub2").alias("sub"), F.col("node").alias("x"))
-            both = first.join(member, "sub").select("x", F.col("node").alias("y")).distinct()
+            first = apart.select(F.col("sid1").alias("sid"), "sid2").join(member, "sid").select(F.col("sid2").alias("sid"), F.col("node").alias("x"))
+            both = first.join(member, "sid").select("x", F.col("node").alias("y")).distinct()
             comps = materialise(_closed(comps, materialise(_verified(both, nodes, num, den), "links")), "comps")
-        if longest <= hubs + 1:
+        if hubs is None or longest <= hubs + 1:
             return comps
-        done = pairs.where("m1 = 1 and m2 = 1").select("rep1", "rep2")
+        done = pairs.where("m1 = 1 and m2 = 1").select(F.least("rep1", "rep2").alias("rep1"), F.greatest("rep1", "rep2").alias("rep2"))
+        done = done.unionByName(done.select(F.col("rep2").alias("rep1"), F.col("rep1").alias("rep2")))
         tested = done if tested is None else tested.unionByName(done).distinct()
-        hubs *= MORE_HUBS
+    return comps
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
