@@ -61,10 +61,10 @@ def text_bytes(df: DataFrame, text: str) -> int:
 def parts_for(total_bytes: int) -> int:
     """How many parts (and hash buckets) to deal texts into.
 
-    One part a MB, but no more than keeps the parts-by-buckets exchange in rows of about a
-    kilobyte, so parts grow with the square root of a large corpus.
+    Their number grows with the square root of the corpus, so that the rows of the
+    parts-by-buckets exchange, of about a kilobyte each, grow in proportion to it.
     """
-    return max(1, min(math.ceil(total_bytes / 1_000_000), math.ceil(math.sqrt(total_bytes / 1000))))
+    return max(1, math.ceil(math.sqrt(total_bytes / 1000)))
 
 
 def free_name(taken: list[str], base: str) -> str:
