@@ -5,7 +5,7 @@ A conversation is written as its turns, joined by newlines::
     conversation := turn ("\\n" turn)*
     turn         := "<turn " role ">" text "</turn>"
 
-No role or text may hold ``<turn `` or ``</turn>``, and no role ``>``.  A deterministic
+No text may hold ``<turn `` or ``</turn>``, and no role ``<`` or ``>``.  A deterministic
 parser cuts at the closing marks and reads every role and text through
 ``unescape``.  Turns are first rendered as they are; those that the parser would not
 give back are escaped, and a conversation that still differs is escaped as a whole.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<turn ", "</turn>"
 #: What stands for a control string in an escaped role or text.
 ESCAPES = {CLOSE: "<\\/turn>", OPEN: "<\\turn "}
-ROLE_ESCAPES = ESCAPES | {">": "-\\g"}
+ROLE_ESCAPES = {"<": "-\\l", ">": "-\\g"}
 
 
 def _swap(c: Column, pairs) -> Column:
@@ -38,7 +38,7 @@ def escape(c: Column, role: bool = False) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return _swap(c, [*((b, a) for a, b in ROLE_ESCAPES.items()), ("\\\\", "\\")])
+    return _swap(c, [*((b, a) for a, b in (ESCAPES | ROLE_ESCAPES).items()), ("\\\\", "\\")])
 
 
 def conflicts(c: Column, role: bool = False) -> Column:

@@ -44,9 +44,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN places USING (row) LEFT JOIN items USING (row)
 """
 
-_UNESCAPE = r"replace(replace(replace(replace({0}, '<\/turn>', '</turn>'), '<\turn ', '<turn '), '-\g', '>'), '\\', '\')"
+_UNESCAPE = r"replace(replace(replace(replace(replace({0}, '<\/turn>', '</turn>'), '<\turn ', '<turn '), '-\l', '<'), '-\g', '>'), '\\', '\')"
 _ESCAPE = r"replace(replace(replace({0}, '\', '\\'), '</turn>', '<\/turn>'), '<turn ', '<\turn ')"
 _CONFLICT = "(" + _UNESCAPE + " <> {0} OR contains({0}, '</turn>') OR contains({0}, '<turn ')"
+_ROLE_ESCAPE = r"replace(replace(replace({0}, '\', '\\'), '<', '-\l'), '>', '-\g')"
 
 OP8 = f"""
 WITH c AS (
@@ -55,7 +56,7 @@ WITH c AS (
   UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
 ), e AS (
   SELECT *,
-    CASE WHEN {_CONFLICT.format("role")} OR contains(role, '>')) THEN replace({_ESCAPE.format("role")}, '>', '-\\g') ELSE role END AS r,
+    CASE WHEN {_CONFLICT.format("role")} OR contains(role, '<') OR contains(role, '>')) THEN {_ROLE_ESCAPE.format("role")} ELSE role END AS r,
     CASE WHEN {_CONFLICT.format("text")}) THEN {_ESCAPE.format("text")} ELSE text END AS t
   FROM c
 )
