@@ -397,7 +397,7 @@ def j19_placeholders(spark, sf):
     return linking.resolve_placeholders(pairs, index, "rule_for_")
 
 
-@query(f"WITH {_HITS}, w AS (SELECT *, string_split({LOW.format('claim')}, ' ')[1] AS term FROM hits), g AS (SELECT * FROM w WHERE contains({LOW.format('content')}, term) OR contains(id, term) QUALIFY row_number() OVER (PARTITION BY claim_id, term ORDER BY distance, id) <= 3) SELECT DISTINCT claim_id AS src, id FROM g")
+@query(f"WITH {_HITS}, w AS (SELECT *, string_split({LOW.format('claim')}, ' ')[1] AS term FROM hits), g AS (SELECT * FROM w WHERE contains(lower(content), lower(term)) OR contains(id, lower(term)) QUALIFY row_number() OVER (PARTITION BY claim_id, term ORDER BY distance, id) <= 3) SELECT DISTINCT claim_id AS src, id FROM g")
 def j20_residual_links(spark, sf):
     from keelstone.catalog._registry import ascii_lower
 
