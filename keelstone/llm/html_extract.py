@@ -1,12 +1,12 @@
 """Main-text extraction with site template removal.
 
-Each page is parsed into elements.  Every container outside what the page's own
-mark-up already rules out (menus, page headers and footers, sidebars, forms, scripts
-and the like, by element, role or class) gets a hash of its subtree: names, texts
-and children.  Spark counts, per host, in how many different pages a subtree
-occurs; those that recur are the site's template and are deleted before the text is
-read.  Pages that hold the same article count once, so an article that a site
-publishes many times is not taken for its template.
+Each page is parsed into elements, and containers get a hash of their subtree: names,
+texts and children.  Spark counts, per host, in how many different pages a subtree
+occurs; those that recur are the site's template and are deleted before the main
+region is looked for and its text is read.  Pages that hold the same article count once,
+so an article that a site publishes many times is not taken for its template.  What
+is on too few pages to be counted is ruled out by the page's own mark-up: menus, page
+headers and footers, sidebars, forms, scripts and the like, by element, role or class.
 """
 
 from __future__ import annotations
@@ -55,10 +55,12 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("name", "kids", "boiler", "hash")
+    """An element: boilerplate by its own mark-up, or gone as part of its site's template."""
+
+    __slots__ = ("name", "kids", "boiler", "gone", "hash")
 
     def __init__(self, name: str, boiler: bool = False):
-        self.name, self.kids, self.boiler, self.hash = name, [], boiler, 0
+        self.name, self.kids, self.boiler, self.gone, self.hash = name, [], boiler, False, 0
 
 
 def _boiler(name: str, attrs: str) -> bool:
@@ -147,7 +149,9 @@ def main_regions(root: Node) -> tuple[list[Node], bool]:
         found, todo = [], [root]
         while todo:
             x = todo.pop()
-            if x.boiler and not (x.name not in _DROP and wanted == "article" and x.name != "article" and _holds(x, ("article", "main"))):
+            # a class word on an element around the article rules nothing out
+            wraps = x.boiler and x.name not in _DROP and x.name != "article" and _holds(x, ("article", "main"))
+            if x.gone or x.boiler and not wraps:
                 continue
             if x.name == wanted:
                 found.append(x)
@@ -176,30 +180,39 @@ def _hash_all(root: Node) -> dict[int, int]:
 
 
 def _candidates(root: Node) -> tuple[list[Node], int]:
-    """Elements that may be template, and a hash of the page's main part.
+    """Elements whose subtrees are counted, and a hash of the page's main part.
 
-    In a marked region only containers are, as paragraphs there are the article's,
-    and none that has half of the region's text.
+    Outside the marked region these are all containers that do not hold it, and one of
+    several articles; inside only containers, as paragraphs there are the article's.
+    On a page without a region, paragraphs, items and headings count as well.  Nothing
+    that has half of the region's text is a candidate.
     """
     sizes = _hash_all(root)
     regions, marked = main_regions(root)
-    names = _CONTAINERS if marked else _LOOSE
     whole = sum(sizes[id(r)] for r in regions)
-    found, todo = [], list(reversed(regions))
+    main = {id(r) for r in regions}
+    around = set()
+    for x in reversed(list(_walk(root))):  # elements that hold a region
+        if any(isinstance(k, Node) and (id(k) in main or id(k) in around) for k in x.kids):
+            around.add(id(x))
+    found = []
+    todo: list[tuple[Node, bool]] = [(root, not marked)]
     while todo:
-        x = todo.pop()
-        if x.boiler and x not in regions:
-            continue
-        if x.name in names and x not in regions and 0 < sizes[id(x)] and (2 * sizes[id(x)] < whole):
+        x, inside = todo.pop()
+        inside = inside or id(x) in main
+        size = sizes[id(x)]
+        small = not inside or 2 * size < whole
+        if x is not root and size and small and id(x) not in around and x.name in (_CONTAINERS | {"article"} if marked else _LOOSE):
             found.append(x)
-        todo.extend(k for k in reversed(x.kids) if isinstance(k, Node))
+        todo.extend((k, inside) for k in reversed(x.kids) if isinstance(k, Node))
     return found, xxhash.xxh64_intdigest("".join(str(r.hash) for r in regions)) - (1 << 63)
 
 
 def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
     """The blocks of the main regions, without boilerplate and template subtrees, joined by two newlines."""
+    for x in _candidates(root)[0] if template else ():
+        x.gone = x.hash in template
     regions, _ = main_regions(root)
-    gone = {id(x) for x in _candidates(root)[0] if x.hash in template} if template else set()
     blocks, line = [], []
 
     def flush():
@@ -217,7 +230,7 @@ def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
                 line.append(x)
             elif x.name == "br":
                 line.append(" ")
-            elif x is region or not (x.boiler or id(x) in gone):
+            elif x is region or not (x.boiler or x.gone):
                 if x.name == "header" and x is not region:  # of an article: only its headings are text
                     todo.extend(k for k in reversed([y for y in _walk(x) if y.name in ("h1", "h2", "h3", "h4", "h5", "h6")]))
                     continue
