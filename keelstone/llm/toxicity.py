@@ -216,14 +216,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     table = rows.mapInArrow(features, schema).orderBy("id").toArrow()  # max_rows rows, or so, of 24 numbers
     x = np.array(table["x"].to_pylist(), dtype=np.float64)
     y, fold = table["y"].to_numpy().astype(np.float64), table["fold"].to_numpy()
+    # a leaf may be as small as a quarter of the rarer class, so few labels still split
+    least = int(max(2, min(8, min(y.sum(), len(y) - y.sum()) // 4)))
+    trees = lambda: BoostedTrees(rounds=60, least=least, penalty=least / 8)
     out = np.zeros(len(y))
     for f in range(FOLDS):
         own = fold == f
         if own.any():
             rest = ~own if 0 < y[~own].sum() < (~own).sum() else np.ones(len(y), bool)
-            out[own] = BoostedTrees(rounds=60).fit(x[rest], y[rest]).raw(x[own])
+            out[own] = trees().fit(x[rest], y[rest]).raw(x[own])
     xs, ys = isotonic(out, y)
-    return ToxicityModel(BoostedTrees(rounds=60).fit(x, y), _weights(terms, None, rate), xs, ys, prior)
+    return ToxicityModel(trees().fit(x, y), _weights(terms, None, rate), xs, ys, prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
