@@ -12,8 +12,12 @@ number among the pieces of that length, without a shuffle of tokens.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
+from bisect import bisect_left
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,89 +29,218 @@ from pyspark.sql.window import Window
 
 from keelstone.llm._common import materialise
 
-#: Whitespace-free chunks whose ids a task remembers.
-CACHED_CHUNKS = 300_000
-
-
-@cache
-def _tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Whitespace-free chunks whose ids a worker remembers: twice as many, at about 200 bytes each.
+CACHED_CHUNKS = 400_000
+#: Chunks that are encoded in one call.
+TOGETHER = 4096
+#: Signs at the end of a chunk, after a letter or digit, are a token group of their own.
+_TAIL = re.compile(rb"(?<=[a-z0-9])[!-/:-@\[-`{-~]+$")
 
 
 class ChunkEncoder:
     """Token ids of whole texts, by a tokenizer that drops white space and never joins across it.
 
-    ``word_bpe_49k.json`` is one: its ids of a text are those of the text's chunks
-    between ASCII white space, put together.  Ids are little-endian unsigned 32-bit.
+    ``word_bpe_49k.json`` is one: it lower-cases, and its ids of a text are those of the
+    text's chunks between ASCII white space, put together; signs that end a chunk are
+    always apart from the letters before them.  A text with ``<|``, which may begin a
+    special token, is encoded as a whole.  Ids are little-endian unsigned 32-bit.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        chunks = text.encode().split()
-        known = self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > CACHED_CHUNKS:
-                known.clear()
-                new = list(set(chunks))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def _plain(self, word: str) -> bool:
+        """Whether a chunk is letters and stays so, so that just its last token ends a word."""
+        return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word) and word.lower().isalpha())
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Ids of chunks that are not known: of those known before, of chunks with signs at the end, of words, of others."""
+        known, before = self.known, self.before
+        tails, words, rest = [], set(), set()
+
+        def sort(c: bytes) -> None:
+            if (old := before.get(c)) is not None:
+                known[c] = old
+            elif self._plain(c.decode()):
+                words.add(c)
+            else:
+                rest.add(c)
+
+        for c in new:
+            if c in before or not (m := _TAIL.search(c)):
+                sort(c)
+                continue
+            parts = c[: m.start()], m[0]
+            tails.append((c, *parts))
+            for p in parts:
+                if p not in known:
+                    sort(p)
+        listed = list(words)
+        for at in range(0, len(listed), TOGETHER):
+            some = listed[at : at + TOGETHER]
+            (together,) = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(together.ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(some):
+                rest.update(some)
+                continue
+            raw, a = ids.tobytes(), 0
+            for c, b in zip(some, stops, strict=True):
+                known[c] = raw[4 * a : 4 * b]
+                a = b
+        listed = list(rest)
+        for at in range(0, len(listed), TOGETHER):
+            some = listed[at : at + TOGETHER]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
+                known[c] = np.array(e.ids, dtype="<u4").tobytes()
+        for c, body, tail in tails:
+            known[c] = known[body] + known[tail]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHED_CHUNKS:
+            self.before, self.known = self.known, {}
+        flat, cuts, whole = [], [0], {}
+        for i, text in enumerate(texts):
+            raw = text.encode()
+            if b"<|" in raw:
+                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                flat += raw.lower().split()
+            cuts.append(len(flat))
+        ids = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            self._learn({flat[i] for i in missing})
+            for i in missing:
+                ids[i] = self.known[flat[i]]
+        return [whole[i] if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(pairwise(cuts))]
+
+
+@cache
+def _encoder(path: str) -> ChunkEncoder:
+    """One for each worker process, so that what it has learned serves its next tasks."""
+    return ChunkEncoder(path)
+
+
+def _runs(texts: list[str]):
+    """Runs of texts of about a MB, unless one is longer."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= 1 << 20:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
+def _best_fill(left: dict[int, int], order: list[int], first: int, room: int) -> dict[int, int]:
+    """The multiset of what is left beside one ``first`` whose sum is the largest within ``room``, by subset sums in a bitset."""
+    reach, steps = 1, []
+    for n in order[bisect_left(order, -room, key=lambda x: -x) :]:
+        have, take = min(left[n] - (n == first), room // n), 1
+        while have > 0:
+            take = min(take, have)
+            steps.append((n, take, reach))
+            reach |= reach << (n * take)
+            have -= take
+            take *= 2
+        if reach >> room & 1:
+            break
+    total = (reach & ((1 << (room + 1)) - 1)).bit_length() - 1
+    fill: dict[int, int] = {}
+    for n, take, before in reversed(steps):  # back through the bitsets: what could be done without is left out
+        if not before >> total & 1:
+            fill[n] = fill.get(n, 0) + take
+            total -= n * take
+    return fill
+
+
+def _pair(left: dict[int, int], there: int, mirror: int, capacity: int, room: int, used: dict[int, int]) -> dict[int, int] | None:
+    """Two lengths that sum to ``room``, beside ``used``, from the bitset of lengths and its mirror image."""
+    both = there & (mirror >> (capacity - room)) & ((1 << room) - 1)
+    while both:
+        a = both.bit_length() - 1
+        b = room - a
+        if a < b:
+            return None
+        spare = lambda n: left[n] - used.get(n, 0)
+        if spare(a) >= 2 if a == b else spare(a) >= 1 and spare(b) >= 1:
+            return {a: 2} if a == b else {a: 1, b: 1}
+        both ^= 1 << a
+    return None
+
+
+def _exact_fill(left: dict[int, int], order: list[int], there: int, mirror: int, capacity: int, first: int, room: int) -> dict[int, int] | None:
+    """At most three lengths that fill ``room`` to the last, the longest first."""
+    if room == 0:
+        return {}
+    if left.get(room, 0) - (room == first) >= 1:
+        return {room: 1}
+    if fill := _pair(left, there, mirror, capacity, room, {first: 1}):
+        return fill
+    for n in order[bisect_left(order, -room, key=lambda x: -x) :]:
+        if 3 * n < room:
+            return None
+        used = {first: 1}
+        used[n] = used.get(n, 0) + 1
+        if left[n] >= used[n] and (fill := _pair(left, there, mirror, capacity, room - n, used)):
+            fill[n] = fill.get(n, 0) + 1
+            return fill
+    return None
 
 
 def fill_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Patterns as (times, {length: pieces}), by minimum bin slack; all pieces are used up."""
+    """Patterns as (times, {length: pieces}), by minimum bin slack; all pieces are used up.
+
+    The longest length left opens each window.  Up to three lengths that fill it exactly
+    are found from the bitset of lengths and its mirror image; else subset sums of all
+    that is left decide.
+    """
     left = {n: c for n, c in counts.items() if c > 0}
-    plan = []
     order = sorted(left, reverse=True)
+    there = sum(1 << n for n in left)
+    mirror = sum(1 << (capacity - n) for n in left)
+    plan = []
     while order:
         first = order[0]
         room = capacity - first
-        reach, steps = 1, []
-        for n in order:
-            have = left[n] - (n == first)
-            have = min(have, room // n)
-            take = 1
-            while have > 0:
-                take = min(take, have)
-                steps.append((n, take, reach))
-                reach |= reach << (n * take)
-                have -= take
-                take *= 2
-            if reach >> room & 1:
-                break
-        total = (reach & ((1 << (room + 1)) - 1)).bit_length() - 1
+        fill = _exact_fill(left, order, there, mirror, capacity, first, room)
+        if fill is None:
+            fill = _best_fill(left, order, first, room)
         pattern = {first: 1}
-        for n, take, before in reversed(steps):
-            if not before >> total & 1:
-                pattern[n] = pattern.get(n, 0) + take
-                total -= n * take
+        for n, c in fill.items():
+            pattern[n] = pattern.get(n, 0) + c
         times = min(left[n] // c for n, c in pattern.items())
         plan.append((times, pattern))
         for n, c in pattern.items():
             left[n] -= times * c
+            if not left[n]:
+                there ^= 1 << n
+                mirror ^= 1 << (capacity - n)
         order = [n for n in order if left[n]]
     return plan
 
 
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches):
-        encode = ChunkEncoder(path)
+        encode = _encoder(path)
         task = TaskContext.get().partitionId()
         numbers: dict[int, int] = {}
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             at, out = [], []
-            for i, text in enumerate(texts):
-                tokens = encode(text or "") + end
+            for i, ids_of_text in enumerate(x for run in _runs([t or "" for t in texts]) for x in encode(run)):
+                tokens = ids_of_text + end
                 n = len(tokens) // 4
                 for start in range(0, n, capacity):
                     size = min(capacity, n - start)
