@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score 0.5 or more; a null text is scored as an empty one."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = free_name(docs.columns, "score")
-    return score_toxicity(docs, model).withColumnRenamed("score", score).where(F.col(score) < 0.5).select(docs.columns)
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

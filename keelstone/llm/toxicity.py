@@ -229,13 +229,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return ToxicityModel(trees().fit(x, y), _weights(terms, None, rate), xs, ys, prior)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``score``, the probability that a text is toxic.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``score_col``, the probability that a text is toxic.
 
-    Null texts are scored as empty ones.  Repeated rows stay; a column ``score`` of
+    Null texts are scored as empty ones.  Repeated rows stay; a column of that name in
     ``docs`` is replaced; an empty table is fine.
     """
-    own = [c for c in (docs.columns if keep is None else keep) if c.lower() != "score"]
+    own = [c for c in (docs.columns if keep is None else keep) if c.lower() != score_col.lower()]
     rest = [c for c in own if c != text_col]
 
     def run(batches):
@@ -248,4 +248,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     names = [*(["row"] if rest else []), *(["text"] if text_col in own else []), "score"]
     schema = T.StructType([*[rows.schema[n] for n in names[:-1]], T.StructField("score", T.DoubleType())])
     out = rows.mapInArrow(run, schema)
-    return out.select(*[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in own], "score")
+    return out.select(*[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in own], F.col("score").alias(score_col))
