@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def simple_paths(starts: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+def simple_paths(starts: DataFrame, edges: DataFrame, most: int = 10, checkpoint=None) -> DataFrame:
     """All simple paths of 1 to ``most`` edges from ``starts`` (column ``id``): ``start, node, path, depth``.
 
-    The frontier is joined with the edges step by step, in one lazy plan.
+    The frontier is joined with the edges step by step, in one lazy plan.  ``checkpoint``
+    may write and reread each frontier, so that no step is computed again.
     """
     hop = edges.select("src", "dst").distinct()
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"), F.lit(0).alias("depth"))
@@ -18,14 +19,15 @@ def simple_paths(starts: DataFrame, edges: DataFrame, most: int = 10) -> DataFra
     for _ in range(most):
         front = front.join(hop, front["node"] == hop["src"]).where(~F.array_contains("path", F.col("dst")))
         front = front.select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), (F.col("depth") + 1).alias("depth"))
+        front = checkpoint(front) if checkpoint else front
         out = front if out is None else out.unionByName(front)
     return out
 
 
-def longest_paths(starts: DataFrame, edges: DataFrame, goals: DataFrame, most: int = 10) -> DataFrame:
+def longest_paths(starts: DataFrame, edges: DataFrame, goals: DataFrame, most: int = 10, checkpoint=None) -> DataFrame:
     """G1, O3: per start the longest simple path to a goal (column ``id``), the smallest path of equals."""
     goal = goals.select(F.col("id").alias("node"))
-    paths = simple_paths(starts, edges, most).join(goal, "node", "left_semi")
+    paths = simple_paths(starts, edges, most, checkpoint).join(goal, "node", "left_semi")
     best = paths.groupBy("start").agg(F.min(F.struct((-F.col("depth")).alias("d"), F.col("path").alias("path"))).alias("best"))
     return best.select("start", (-F.col("best.d")).alias("depth"), F.col("best.path").alias("path"))
 

@@ -39,73 +39,88 @@ def nearest(base: DataFrame, query: Column, k: int = 10, id_col: str = "id", vec
     return base.withColumn("distance", F.round(distance(F.col(vec_col), query, metric), digits)).drop(vec_col).orderBy("distance", id_col).limit(k)
 
 
-def _scan(ids: np.ndarray, x: np.ndarray, k: int, metric: str, digits: int, skip_self: bool):
-    """The k nearest of a block for every query row."""
+def _matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    values = vectors.to_numpy(zero_copy_only=False)
+    return np.stack(values).astype(np.float64) if len(values) else np.empty((0, dim))
 
+
+def _near(q_ids, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str, digits: int, skip_self: bool) -> pa.RecordBatch:
+    """The k nearest rows of ``x`` for every row of ``q``, ties by id."""
     norms = (x * x).sum(axis=1)
-    out_schema = ["query_id", "id", "distance"]
-
-    def run(batches):
-        for batch in batches:
-            q_ids = batch.column(0)
-            q = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64) if len(batch) else np.empty((0, x.shape[1]))
-            rows, near, dist = [], [], []
-            for at in range(0, len(q), 1024):
-                part = q[at : at + 1024]
-                dot = part @ x.T
-                own = (part * part).sum(axis=1)[:, None]
-                if metric in ("l2sq", "l2"):
-                    d = np.maximum(own + norms - 2 * dot, 0.0)
-                    d = np.sqrt(d) if metric == "l2" else d
-                elif metric == "cosine":
-                    d = 1 - dot / np.sqrt(own * norms)
-                else:
-                    d = -dot
-                d = np.round(d, digits)
-                for i, r in enumerate(d):
-                    top = np.argpartition(r, k + 1)[: k + 1] if len(r) > k + 1 else np.arange(len(r))
-                    edge = r[top].max() if len(top) else 0
-                    top = np.flatnonzero(r <= edge)
-                    top = top[np.lexsort((ids[top], r[top]))]
-                    if skip_self:
-                        me = q_ids[at + i].as_py()
-                        top = top[ids[top] != me]
-                    top = top[:k]
-                    rows.append(np.full(len(top), at + i))
-                    near.append(ids[top])
-                    dist.append(r[top])
-            rows, near, dist = (np.concatenate(z) if z else np.empty(0) for z in (rows, near, dist))
-            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows.astype(np.int64))), pa.array(near, pa.string() if near.dtype.kind in "OU" else pa.int64()), pa.array(dist, pa.float64())], names=out_schema)
-
-    return run
+    mine = np.array(q_ids.to_pylist(), dtype=object)
+    rows, near, dist = [], [], []
+    for at in range(0, len(q), 1024):
+        part = q[at : at + 1024]
+        dot = part @ x.T
+        own = (part * part).sum(axis=1)[:, None]
+        if metric in ("l2sq", "l2"):
+            d = np.maximum(own + norms - 2 * dot, 0.0)
+            d = np.sqrt(d) if metric == "l2" else d
+        elif metric == "cosine":
+            d = 1 - dot / np.sqrt(own * norms)
+        else:
+            d = -dot
+        d = np.round(d, digits)
+        for i, r in enumerate(d):
+            if len(r) > k + 1:
+                edge = np.partition(r, k)[k]
+                top = np.flatnonzero(r <= edge)
+            else:
+                top = np.arange(len(r))
+            top = top[np.lexsort((ids[top], r[top]))]
+            if skip_self:
+                top = top[ids[top] != mine[at + i]]
+            top = top[:k]
+            rows.append(np.full(len(top), at + i))
+            near.append(ids[top])
+            dist.append(r[top])
+    rows, near, dist = (np.concatenate(z) if z else np.empty(0) for z in (rows, near, dist))
+    kind = pa.string() if ids.dtype == object else pa.int64()
+    return pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows.astype(np.int64))), pa.array(near.tolist() if ids.dtype == object else near.astype(np.int64), kind), pa.array(dist.astype(np.float64))], names=["query_id", "id", "distance"])
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int = 10, query_id: str = "query_id", query_vec: str = "q", id_col: str = "id", vec_col: str = "v", metric: str = "l2sq", digits: int = 6, skip_self: bool = False) -> DataFrame:
     """V2: the ``k`` nearest rows of ``base`` for every query: ``query_id, rank, id, distance``.
 
     A base of up to ``BROADCAST_BYTES`` goes to every task as one matrix.  A larger one is
-    cut into blocks by a hash of its ids; the queries pass over the blocks one after
-    another and the partial lists are merged.  Distances are rounded to ``digits``,
-    ties go to the smaller id.
+    cut into blocks by a hash of its ids and the queries into chunks of the same
+    size; every block meets every chunk in a group of its own, and the partial lists are
+    merged.  Distances are rounded to ``digits``, ties go to the smaller id.
     """
-    shape = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    n, dim = shape["n"], shape["d"] or 0
-    id_type = base.schema[id_col].dataType
-    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("id", T.StringType() if isinstance(id_type, T.StringType) else T.LongType()), T.StructField("distance", T.DoubleType())])
-    blocks = max(1, math.ceil(n * dim * 8 / BROADCAST_BYTES))
+    text_ids = isinstance(base.schema[id_col].dataType, T.StringType)
+    id_type = object if text_ids else np.int64
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField("id", T.StringType() if text_ids else T.LongType()), T.StructField("distance", T.DoubleType())])
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("q"))
-    found = None
-    for b in range(blocks):
-        part = base if blocks == 1 else base.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        table = part.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).toArrow()
-        if not table.num_rows:
-            continue
-        x = np.array(table["v"].to_pylist(), dtype=np.float64)
-        ids = np.array(table["id"].to_pylist(), dtype=object if isinstance(id_type, T.StringType) else np.int64)
-        near = asked.mapInArrow(_scan(ids, x, k, metric, digits, skip_self), schema)
-        found = near if found is None else found.unionByName(near)
-    if found is None:
+    rows = base.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    dim = shape["d"] or 0
+    size = shape["n"] * dim * 8
+    if not size:
         found = queries.sparkSession.createDataFrame([], schema)
+    elif size <= BROADCAST_BYTES:
+        table = rows.toArrow()
+        x, ids = _matrix(table["v"], dim), np.array(table["id"].to_pylist(), dtype=id_type)
+
+        def scan(batches):
+            for batch in batches:
+                yield _near(batch.column(0), _matrix(batch.column(1), dim), ids, x, k, metric, digits, skip_self)
+
+        found = asked.mapInArrow(scan, schema)
+    else:
+        blocks = math.ceil(size / BROADCAST_BYTES)
+        chunks = max(1, math.ceil(asked.count() * dim * 8 / BROADCAST_BYTES))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        left = asked.select("*", part("query_id", chunks).alias("chunk"), every(blocks).alias("block"))
+        right = rows.select("*", part("id", blocks).alias("block"), every(chunks).alias("chunk"))
+
+        def meet(q: pa.Table, b: pa.Table) -> pa.Table:
+            if not q.num_rows or not b.num_rows:
+                return q.select(["query_id"]).slice(0, 0).append_column("id", pa.array([], pa.string() if text_ids else pa.int64())).append_column("distance", pa.array([], pa.float64()))
+            near = _near(q["query_id"].combine_chunks(), _matrix(q["q"], dim), np.array(b["id"].to_pylist(), dtype=id_type), _matrix(b["v"], dim), k, metric, digits, skip_self)
+            return pa.Table.from_batches([near])
+
+        found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(meet, schema)
     rank = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
