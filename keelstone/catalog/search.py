@@ -9,6 +9,7 @@ from keelstone.catalog._registry import LOW, query, table
 from keelstone.functions import text as X
 from keelstone.operators import graph, linking, vectors
 from keelstone.operators.store import first_per_key
+from keelstone.plans.state import materialise
 
 _DIST = "round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2, 6)"
 _KNN = f"SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, {_DIST} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"
@@ -24,11 +25,11 @@ def _all_knn(spark, sf, k, base=None):
 
 
 def nearest_to(spark, sf, vec_id, k=10):
-    """V1: the nearest rows to one stored vector, in one plan: the vector comes by a one-row join."""
+    """V1: the nearest rows to one stored vector; the vector is a scalar subquery, the rest a top-k."""
     e = _vectors(spark, sf)
-    one = e.where(F.col("id") == vec_id).select(F.col("v").alias("q")).limit(1)
-    near = e.join(F.broadcast(one)).where(F.col("id") != vec_id)
-    return near.withColumn("distance", F.round(vectors.distance(F.col("v"), F.col("q")), 6)).select("id", "label", "distance").orderBy("distance", "id").limit(k)
+    query = e.where(F.col("id") == vec_id).select("v").limit(1).scalar()
+    near = e.where(F.col("id") != vec_id).withColumn("q", query).withColumn("distance", F.round(vectors.distance(F.col("v"), F.col("q")), 6))
+    return near.select("id", "label", "distance").orderBy("distance", "id").limit(k)
 
 
 @query(f"""SELECT b.item_id, k AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY b.item_id)), 6) AS weight FROM
@@ -157,9 +158,8 @@ _EDGES = "SELECT vec_id AS src, (vec_id * 7 + 1) % (SELECT count(*) FROM embeddi
 
 def _edges(spark, sf):
     e = table(spark, sf, "embeddings")
-    n = e.agg(F.count(F.lit(1)).alias("n"))
-    i = F.col("vec_id")
-    return e.join(F.broadcast(n)).select(i.alias("src"), F.explode(F.array((i * 7 + 1) % F.col("n"), (i * 3 + 2) % F.col("n"))).alias("dst")).distinct()
+    i, n = F.col("vec_id"), e.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return e.select(i.alias("src"), F.explode(F.array((i * 7 + 1) % n, (i * 3 + 2) % n)).alias("dst")).distinct()
 
 
 _PATHS = f"""WITH RECURSIVE e AS ({_EDGES}), p(start, node, path, depth) AS (SELECT vec_id, vec_id, [vec_id], 0 FROM embeddings UNION ALL
@@ -170,13 +170,13 @@ _PATHS = f"""WITH RECURSIVE e AS ({_EDGES}), p(start, node, path, depth) AS (SEL
  SELECT start, depth, s AS path FROM g QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, path) = 1""")
 def g1_longest_paths(spark, sf):
     v = table(spark, sf, "embeddings")
-    out = graph.longest_paths(v.select(F.col("vec_id").alias("id")), _edges(spark, sf), v.where("label < 2").select(F.col("vec_id").alias("id")), 5)
+    out = graph.longest_paths(v.select(F.col("vec_id").alias("id")), _edges(spark, sf), v.where("label < 2").select(F.col("vec_id").alias("id")), 5, materialise)
     return out.select("start", "depth", F.array_join("path", ",").alias("path"))
 
 
 @query(f"{_PATHS} SELECT start, node, min(depth) AS steps FROM p WHERE depth > 0 GROUP BY 1, 2")
 def g2_reachability(spark, sf):
-    return graph.reachable(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), _edges(spark, sf), 5)
+    return graph.reachable(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), _edges(spark, sf), 5, materialise)
 
 
 @query("""SELECT n.n_nationkey, r.r_name, count(DISTINCT c.c_custkey) AS incoming, string_agg(DISTINCT p.n_name, ',' ORDER BY p.n_name) AS paired FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
@@ -193,13 +193,13 @@ def g3_listing(spark, sf):
  s AS (SELECT start, unnest(range(2, len(path) + 1)) AS i, path FROM g), f AS (SELECT start, i - 1 AS pos, path[i] AS id FROM s) SELECT start, id, pos FROM f JOIN embeddings v ON v.vec_id = f.id WHERE v.label < 2 QUALIFY row_number() OVER (PARTITION BY start ORDER BY pos) = 1""")
 def g6_first_grounded(spark, sf):
     v = table(spark, sf, "embeddings")
-    paths = graph.longest_paths(v.select(F.col("vec_id").alias("id")), _edges(spark, sf), v.where("label < 2").select(F.col("vec_id").alias("id")), 5)
+    paths = graph.longest_paths(v.select(F.col("vec_id").alias("id")), _edges(spark, sf), v.where("label < 2").select(F.col("vec_id").alias("id")), 5, materialise)
     return graph.first_on_path(paths, v.select(F.col("vec_id").alias("id"), "label"), F.col("label") < 2).select("start", "id", "pos")
 
 
 @query(f"{_PATHS} SELECT start, max(depth) AS depth FROM p WHERE depth > 0 GROUP BY 1")
 def o3_argmax_path(spark, sf):
-    paths = graph.simple_paths(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), _edges(spark, sf), 5)
+    paths = graph.simple_paths(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), _edges(spark, sf), 5, materialise)
     return paths.groupBy("start").agg(F.max("depth").alias("depth"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keelstone.catalog._registry import query, table
 from keelstone.functions import text as X
@@ -109,12 +108,11 @@ def k3_code_upsert(spark, sf):
     return store.upsert(p.limit(0), p, ["code"], ["ord"]).select("code", "type")
 
 
-@query("SELECT count(*) AS vertices, (SELECT count(DISTINCT p_brand) FROM part) AS codes, count(DISTINCT (p_partkey, p_brand)) AS edges FROM part")
+@query("SELECT 'vertices' AS label, count(*) AS n FROM part UNION ALL SELECT 'codes', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT p_partkey, p_brand FROM part)")
 def k4_collection_load(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand").alias("codes"), "p_brand")
     codes = p.select(F.col("p_brand").alias("code")).distinct()
-    edges = store.resolved_edges(p, "id", "codes", codes, "code")
-    return p.agg(F.count(F.lit(1)).alias("vertices")).crossJoin(codes.agg(F.count(F.lit(1)).alias("codes"))).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
+    return store.counts_by_label({"vertices": p, "codes": codes, "edges": store.resolved_edges(p, "id", "codes", codes, "code")})
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey = 7 THEN 'RENAMED' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'NEW', 0")
@@ -428,10 +426,10 @@ def a7_review_counts(spark, sf):
     return review.session_totals(table(spark, sf, "conversations").withColumn("decision", d), "conv_id").select("conv_id", "total", "reviewed", "approved", "complete")
 
 
-@query("SELECT conv_id, count(*) AS total, row_number() OVER (ORDER BY count(*) DESC, conv_id) AS pos FROM conversations GROUP BY 1")
+@query("SELECT conv_id, count(*) AS total FROM conversations GROUP BY 1 ORDER BY total DESC, conv_id")
 def a8_session_list(spark, sf):
     t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("total"))
-    return t.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("total"), "conv_id")).cast("long"))
+    return t.orderBy(F.desc("total"), "conv_id")
 
 
 @query("SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 15")
