@@ -43,7 +43,7 @@ _DETECTED = f"""det AS (SELECT claim_id, id, max(sure) AS sure, arg_max(kind, su
   UNION ALL SELECT claim_id, id, {_KIND}, 0.9 FROM hits WHERE rank <= 5 AND {_DANGEROUS} AND {_KIND} IS NOT NULL) GROUP BY 1, 2)"""
 _VALIDATED = f"""chain AS (SELECT claim_id, count(*) AS n_steps, min(confidence) AS least, arg_min(layer, step) AS layer, bool_or(relationship = 'SUPPORTS') AS supported FROM cl GROUP BY 1),
  own AS (SELECT DISTINCT claim_id, id, 0.9 AS sure FROM cl WHERE relationship = 'CONTRADICTS'), against AS (SELECT claim_id, max(sure) AS surest, count(*) AS n FROM (SELECT * FROM own UNION ALL SELECT claim_id, id, sure FROM det ANTI JOIN own USING (claim_id, id)) GROUP BY 1),
- val AS (SELECT c.claim_id, n IS NULL AS is_valid, round(CASE WHEN n IS NOT NULL THEN 1 - surest WHEN layer = 'c11_core' AND supported THEN least WHEN layer = 'c11_core' THEN 0.5 WHEN n_steps > 0 THEN 0.8 * least ELSE 0.3 END, 6) AS confidence,
+ val AS (SELECT c.claim_id, n IS NULL AS is_valid, round(CASE WHEN n IS NOT NULL THEN 1 - surest WHEN layer = 'c11_core' AND supported THEN least WHEN layer = 'c11_core' THEN 0.5 WHEN n_steps > 0 THEN 0.8 * least ELSE 0.3 END::DOUBLE, 6) AS confidence,
   coalesce(n, 0) AS n_contradictions, coalesce(layer = 'c11_core', false) AS grounded, CASE WHEN n IS NOT NULL THEN 'INVALID' WHEN layer = 'c11_core' THEN 'VALID' WHEN n_steps > 0 THEN 'LIKELY VALID' ELSE 'UNCERTAIN' END AS status
   FROM c LEFT JOIN chain USING (claim_id) LEFT JOIN against USING (claim_id))"""
 
@@ -505,7 +505,7 @@ def x10_review_items(spark, sf):
 
     l, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     rows = l.join(p, l["l_partkey"] == p["p_partkey"]).withColumn("f", F.lit(""))
-    return ordered(rows, "f", "l_linenumber", "p_name", "l_partkey", "l_orderkey").select("l_orderkey", "l_linenumber", "p_name", "item_no")
+    return ordered(rows, "f", "l_linenumber", "p_name", "l_partkey", "l_orderkey").select("l_orderkey", "l_linenumber", "p_name", F.col("item_no").cast("long").alias("item_no"))
 
 
 @query("SELECT p_brand, 'a' || p_size AS link FROM part GROUP BY 1, 2")

@@ -32,7 +32,7 @@ def nearest_to(spark, sf, vec_id, k=10):
     return near.select("id", "label", "distance").orderBy("distance", "id").limit(k)
 
 
-@query(f"""SELECT b.item_id, k AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY b.item_id)), 6) AS weight FROM
+@query(f"""SELECT b.item_id, k::BIGINT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY b.item_id)), 6) AS weight FROM
  (SELECT item_id, ('0x' || left(md5(w), 8))::UBIGINT % 64 AS k, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(regexp_extract_all({LOW.format("text")}, '[a-z0-9]+')) AS w FROM benchmark) GROUP BY 1, 2) b""")
 def v0_encode(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", vectors.encode(F.col("text")).alias("v"))
@@ -194,7 +194,7 @@ def g3_listing(spark, sf):
 def g6_first_grounded(spark, sf):
     v = table(spark, sf, "embeddings")
     paths = graph.longest_paths(v.select(F.col("vec_id").alias("id")), _edges(spark, sf), v.where("label < 2").select(F.col("vec_id").alias("id")), 5, materialise)
-    return graph.first_on_path(paths, v.select(F.col("vec_id").alias("id"), "label"), F.col("label") < 2).select("start", "id", "pos")
+    return graph.first_on_path(paths, v.select(F.col("vec_id").alias("id"), "label"), F.col("label") < 2).select("start", "id", F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"{_PATHS} SELECT start, max(depth) AS depth FROM p WHERE depth > 0 GROUP BY 1")

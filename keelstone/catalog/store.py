@@ -305,7 +305,7 @@ def _layer(label):
     return F.when(label == 0, "c11_core").when(label == 1, "c11_stdlib").when(label == 2, "cpp20_language").when(label == 3, "cpp20_stdlib").otherwise("library")
 
 
-@query(f"SELECT vec_id, round(CASE WHEN label < 4 THEN 0.95 WHEN label < 7 THEN 0.9 * 0.95 ELSE 0.7 * 0.95 END, 6) AS confidence, {_LAYER} AS layer FROM embeddings")
+@query(f"SELECT vec_id, round(CASE WHEN label < 4 THEN 0.95 WHEN label < 7 THEN 0.9 * 0.95 ELSE 0.7 * 0.95 END::DOUBLE, 6) AS confidence, {_LAYER} AS layer FROM embeddings")
 def p19_effective_confidence(spark, sf):
     label = F.col("label")
     return table(spark, sf, "embeddings").select("vec_id", F.round(effective_confidence(_layer(label), F.lit(0.95), label < 7), 6).alias("confidence"), _layer(label).alias("layer"))
@@ -465,7 +465,7 @@ def a13_count_per_layer(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linenumber, l_linestatus, l_linenumber) AS item_no FROM lineitem")
 def o1_item_order(spark, sf):
     l = table(spark, sf, "lineitem")
-    return review.ordered(l, "l_returnflag", "l_linenumber", "l_linestatus", "l_linenumber", "l_orderkey").select("l_orderkey", "l_linenumber", "item_no")
+    return review.ordered(l, "l_returnflag", "l_linenumber", "l_linestatus", "l_linenumber", "l_orderkey").select("l_orderkey", "l_linenumber", F.col("item_no").cast("long").alias("item_no"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
