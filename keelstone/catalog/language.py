@@ -88,6 +88,34 @@ def f3_conditions(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.size(X.conditions(spec)).cast("long").alias("n"))
 
 
+@query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'divisor must be non-zero' WHEN 1 THEN 'either value must be zero or operand is a pointer type' WHEN 2 THEN 'if type is void then value is opaque'
+ WHEN 3 THEN 'NOT: x' || p_size || ' > 1' WHEN 4 THEN 'x' || p_size || ' ≤ 7' ELSE 'exactly one of (must be an lvalue) or (value must be zero)' END AS said FROM part""")
+def f4_condition_text(spark, sf):
+    from keelstone.functions.conditions import condition_text
+
+    n = F.concat(F.lit("x"), "p_size")
+    forms = [F.lit("((notBool isZero(X)))"), F.lit("isZero(X) orBool (isPointerType(T))"), F.lit("isVoidType(T) impliesBool isOpaque(V)"), F.concat(F.lit("notBool ("), n, F.lit(":Int >Int 1)")), F.concat(n, F.lit("::CValue <=Int 7")), F.lit("isLValue(E) xorBool isZero(E)")]
+    return table(spark, sf, "part").select("p_partkey", condition_text(F.element_at(F.array(*forms), F.col("p_size") % 6 + 1)).alias("said"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Integer division requires: divisor must be non-zero, and operand must be integer-promoted.' WHEN 1 THEN 'The x is freed.'
+ WHEN 2 THEN 'Operation requires: a' || p_size || ' > 0.' ELSE 'No preconditions specified.' END AS said FROM part""")
+def f5_description(spark, sf):
+    from keelstone.functions.conditions import description
+
+    forms = [F.lit("notBool isZero(X) // note\n andBool isPromoted(T)"), F.lit("/*@ \\fromStandard{s}{The x is freed.}*/ q"), F.concat(F.lit("(a"), "p_size", F.lit(" >Int 0)")), F.lit("")]
+    op = F.when(F.col("p_size") % 4 == 0, "division").otherwise("other")
+    return table(spark, sf, "part").select("p_partkey", description(F.element_at(F.array(*forms), F.col("p_size") % 4 + 1), op).alias("said"))
+
+
+@query("SELECT p_partkey, 'x' || p_size || ' ≠ y' AS clean, CASE WHEN p_size % 2 = 0 THEN 'this is undefined behavior' END AS said FROM part")
+def f6_clean_up(spark, sf):
+    from keelstone.functions import conditions as C
+
+    spec = F.concat(F.lit("(x"), "p_size", F.lit("::UType =/=K y) "), F.when(F.col("p_size") % 2 == 0, "// this is undefined behavior").otherwise("/* a * b */"))
+    return table(spark, sf, "part").select("p_partkey", C.plain_signs(C.without_comments(spec)).alias("clean"), C.standard_text(spec).alias("said"))
+
+
 @query("""SELECT p_partkey, CASE WHEN contains(l, '/') AND NOT contains(lower(l), 'div') THEN 'division' WHEN contains(l, '%') THEN 'modulus' WHEN contains(l, '*') AND NOT contains(lower(l), 'mult') THEN 'multiplication' WHEN contains(l, '+') THEN 'addition'
  WHEN contains(l, '-') THEN 'subtraction' WHEN contains(l, '<<') OR contains(l, '>>') THEN 'shift' WHEN contains(l, '&') OR contains(l, '|') OR contains(l, '^') THEN 'bitwise' WHEN contains(l, '==') OR contains(l, '!=') OR contains(l, '<') OR contains(l, '>') THEN 'comparison'
  WHEN contains(l, ':=') OR contains(l, '=') THEN 'assignment' ELSE 'operation' END AS op FROM (SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 'a / b' WHEN 1 THEN 'div / b' WHEN 2 THEN 'a % b' WHEN 3 THEN 'a * b' WHEN 4 THEN 'a + b' WHEN 5 THEN 'a << b' WHEN 6 THEN 'a & b' WHEN 7 THEN 'a == b' WHEN 8 THEN 'a := b' ELSE 'a' END AS l FROM part)""")

@@ -64,12 +64,12 @@ NAMING = (
     (r"^(.+)_init$", "$1_free"), (r"^(.+)_init$", "$1_finish"), (r"^(.+)_acquire$", "$1_release"), (r"^create_(.+)$", "destroy_$1"), (r"^alloc_(.+)$", "free_$1"), (r"^new_(.+)$", "delete_$1"),
 )
 STATIC_PAIRS = (
-    ("push_back", "pop_back"), ("push_front", "pop_front"), ("emplace_back", "pop_back"), ("emplace_front", "pop_front"),
-    ("ranges::begin", "ranges::end"), ("ranges::rbegin", "ranges::rend"), ("ranges::cbegin", "ranges::cend"), ("ranges::crbegin", "ranges::crend"),
-    ("std::make_shared", "std::shared_ptr::~shared_ptr"), ("std::allocate_shared", "std::shared_ptr::~shared_ptr"), ("std::weak_ptr::lock", "std::weak_ptr::reset"),
     ("std::any::any", "std::any::~any"), ("std::variant::variant", "std::variant::~variant"), ("std::shared_ptr::shared_ptr", "std::shared_ptr::~shared_ptr"),
     ("std::weak_ptr::weak_ptr", "std::weak_ptr::~weak_ptr"), ("std::condition_variable", "std::condition_variable::~condition_variable"),
-    ("std::condition_variable_any", "std::condition_variable_any::~condition_variable_any"),
+    ("std::condition_variable_any", "std::condition_variable_any::~condition_variable_any"), ("std::weak_ptr::lock", "std::weak_ptr::reset"),
+    ("push_back", "pop_back"), ("push_front", "pop_front"), ("emplace_back", "pop_back"), ("emplace_front", "pop_front"),
+    ("ranges::begin", "ranges::end"), ("ranges::rbegin", "ranges::rend"), ("ranges::cbegin", "ranges::cend"), ("ranges::crbegin", "ranges::crend"),
+    ("std::make_shared", "std::shared_ptr::~shared_ptr"), ("std::allocate_shared", "std::shared_ptr::~shared_ptr"),
 )
 PROVIDER_WORDS = ("provides", "defines", "creates", "introduces", "declares", "establishes")
 REQUIRER_WORDS = ("requires", "must be", "must have", "needs", "access to")
@@ -86,3 +86,38 @@ MEMORY_OPS = ("allocation", "deallocation", "new", "delete")
 CALLS = ("function_call",)
 MACRO_KEYWORDS = ("if", "while", "for", "switch", "sizeof", "typeof", "alignof")
 NOT_FUNCTIONS = ("tv", "utype", "type", "lval", "reval", "K")
+
+# What predicates of a condition say, and operations' names.
+CONDITION_TEMPLATES = {
+    "notBool isZero": "divisor must be non-zero", "isZero": "value must be zero", "isNullPointerConstant": "value is a null pointer constant",
+    "notBool isNullPointerConstant": "value must not be null", "==K NullPointer": "is a null pointer", "=/=K NullPointer": "must not be a null pointer",
+    "isPromoted": "operand must be integer-promoted", "notBool isPromoted": "operand requires integer promotion", "==Type": "operand types must match", "=/=Type": "operand types differ",
+    "isCompleteType": "type must be complete", "notBool isCompleteType": "type is incomplete", "isCompletePointerType": "pointer must point to complete type",
+    "isPointerType": "operand is a pointer type", "isPointerUType": "operand is a pointer type", "notBool isPointerUType": "operand must not be a pointer",
+    "isFunctionPointerType": "operand is a function pointer", "notBool isFunctionPointerType": "operand must not be a function pointer",
+    "isIntegerType": "operand is an integer type", "isIntegerUType": "operand is an integer type", "hasIntegerType": "operand has integer type",
+    "isSignedIntegerType": "operand is a signed integer", "isUnsignedIntegerType": "operand is an unsigned integer",
+    "isFloatType": "operand is a floating-point type", "isFloatUType": "operand is a floating-point type",
+    "isVoidType": "type is void", "notBool isVoidType": "type must not be void", "isArithmeticType": "operand is an arithmetic type", "isScalarType": "operand is a scalar type",
+    "isBoolType": "operand is a boolean type", "isCharType": "operand is a character type", "isWCharType": "operand is a wide character type",
+    "isStructOrUnionType": "operand is a struct or union", "notBool isStructOrUnionType": "operand must not be a struct or union", "isArrayType": "operand is an array type",
+    "isBasicType": "operand is a basic type", "isBitfieldType": "operand is a bitfield type",
+    "notBool isConstType": "operand must not be const-qualified", "isConstType": "operand is const-qualified", "isVolatileType": "operand is volatile-qualified",
+    "isUnknown": "value is indeterminate", "notBool isUnknown": "value must be determinate", "hasUnknown": "contains indeterminate value", "notBool hasUnknown": "must not contain indeterminate values",
+    "isTrap": "value is a trap representation", "notBool isTrap": "value must not be a trap representation", "hasTrap": "contains trap representation",
+    "notBool hasTrap": "must not contain trap representations", "isOpaque": "value is opaque", "notBool isOpaque": "value must not be opaque",
+    ">Int max(T)": "value exceeds maximum for type (overflow)", "<Int min(T)": "value below minimum for type (underflow)",
+    "<=Int max(T)": "value must not exceed type maximum", ">=Int min(T)": "value must not be below type minimum",
+    "fromConstantExpr": "must be a constant expression", "notBool fromConstantExpr": "is not a constant expression", "isHold": "expression is held for evaluation",
+    "notBool isHold": "expression is not held", "isSymLoc": "value is a symbolic location", "notBool isSymLoc": "value must not be a symbolic location",
+    "isLocation": "value is a memory location", "notBool isLocation": "value is not a memory location",
+    "isKResult": "is a K result", "notBool isKResult": "is not yet a K result", "isRHold": "is a held rvalue", "notBool isRHold": "is not a held rvalue",
+    "isLValue": "must be an lvalue", "isModifiableLValue": "must be a modifiable lvalue", "isNPC": "is a null pointer constant",
+    "hasFloat": "contains floating-point value", "notBool hasFloat": "must not contain floating-point", "hasInt": "contains integer value", "notBool hasInt": "must not contain integer",
+}
+OPERATION_NAMES = {
+    "division": "Integer division", "modulus": "Modulus operation", "multiplication": "Integer multiplication", "addition": "Addition", "subtraction": "Subtraction", "shift": "Bit shift",
+    "bitwise": "Bitwise operation", "comparison": "Comparison", "assignment": "Assignment", "cast": "Type conversion", "conversion": "Type conversion", "dereference": "Pointer dereference",
+    "subscript": "Array subscript", "member": "Member access", "call": "Function call", "operation": "Operation",
+}
+READABLE_SIGNS = (("=/=K", "≠"), ("==K", "="), ("=/=Type", "types differ"), ("==Type", "types match"), ("<=Int", "≤"), (">=Int", "≥"), (">Int", ">"), ("<Int", "<"), ("<=Quals", "qualifiers ⊆"))
