@@ -161,6 +161,13 @@ def f13_spec_types(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(X.spec_types(spec), ",").alias("types"))
 
 
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'bad_alloc,exception,pointer,size_t,throw expression' WHEN 1 THEN 'lambda capture,lambda expression' WHEN 2 THEN 'atomic,memory order,null' ELSE '' END AS refs FROM part""")
+def f13_type_references(spark, sf):
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), F.col("p_size") % 4 + 1)
+    refs = X.type_references(pick("void f(size_t n, T* p)", "", "", ""), pick("May throw BAD_ALLOC as an exception", "A lambda needs its capture", "An atomic has a memory order", "Nothing"), pick("", "", "not null", ""))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(refs, ",").alias("refs"))
+
+
 @query(f"WITH c AS ({_CLAIMS}) SELECT claim_id, md5(concat_ws('|', CASE WHEN contains(l, 'can') THEN replace(l, 'can', 'cannot') END, CASE WHEN contains(l, 'will') THEN replace(l, 'will', 'will not') END, 'not ' || claim, 'undefined behavior ' || claim)) AS digest FROM (SELECT *, {LOW.format('claim')} AS l FROM c WHERE NOT regexp_matches(claim, '[^\\x00-\\x7F]')) WHERE NOT contains(l, 'valid') AND NOT contains(l, 'defined') AND NOT contains(l, 'is safe')")
 def f14_negations(spark, sf):
     c = claims(spark, sf).where(~F.col("claim").rlike(r"[^\x00-\x7F]"))

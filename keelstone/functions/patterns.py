@@ -121,3 +121,72 @@ OPERATION_NAMES = {
     "subscript": "Array subscript", "member": "Member access", "call": "Function call", "operation": "Operation",
 }
 READABLE_SIGNS = (("=/=K", "≠"), ("==K", "="), ("=/=Type", "types differ"), ("==Type", "types match"), ("<=Int", "≤"), (">=Int", "≥"), (">Int", ">"), ("<Int", "<"), ("<=Quals", "qualifiers ⊆"))
+
+# Exceptions, type names of signatures, and language concepts with the query that finds their rules.
+EXCEPTIONS = (
+    "bad_optional_access", "bad_variant_access", "bad_any_cast", "bad_alloc", "out_of_range", "length_error", "invalid_argument", "overflow_error", "underflow_error",
+    "domain_error", "range_error", "runtime_error", "logic_error", "system_error",
+)
+SIGNATURE_TYPES = {
+    r"\b(\w+)&": "reference", r"const\s+(\w+)&": "const_reference", r"\b(\w+)\*": "pointer", r"const\s+(\w+)\*": "const_pointer", r"\bsize_type\b": "size_type",
+    r"\bsize_t\b": "size_t", r"\ballocator_type\b": "allocator_type", r"\ballocator\b": "allocator", r"\biterator\b": "iterator", r"\bInputIterator\b": "InputIterator",
+    r"\bForwardIterator\b": "ForwardIterator", r"\bBidirectionalIterator\b": "BidirectionalIterator", r"\bRandomAccessIterator\b": "RandomAccessIterator",
+    r"\bconst_iterator\b": "const_iterator", r"\breference\b": "reference", r"\bconst_reference\b": "const_reference", r"\bvalue_type\b": "value_type",
+    r"\bkey_type\b": "key_type", r"\bmapped_type\b": "mapped_type", r"std::optional<": "optional", r"std::variant<": "variant", r"std::any\b": "any",
+    r"std::expected<": "expected", r"std::shared_ptr<": "shared_ptr", r"std::unique_ptr<": "unique_ptr", r"std::weak_ptr<": "weak_ptr",
+}
+CONCEPTS = {
+    r"\blifetime\b": "object lifetime", r"\bstorage\s+duration\b": "storage duration", r"\bdestruct": "destructor", r"\bconstruct": "constructor", r"\blvalue\b": "lvalue",
+    r"\brvalue\b": "rvalue", r"\bxvalue\b": "xvalue", r"\bprvalue\b": "prvalue", r"\bglvalue\b": "glvalue", r"\bstatic\s+storage\b": "static storage duration",
+    r"\bthread\s+local\b": "thread storage duration", r"\bautomatic\s+storage\b": "automatic storage duration", r"\bdynamic\s+storage\b": "dynamic storage duration",
+    r"\bblock\s+scope\b": "block scope automatic", r"\binitializ": "initialization", r"\bdefault[- ]initializ": "default initialization",
+    r"\bvalue[- ]initializ": "value initialization", r"\bdirect[- ]initializ": "direct initialization", r"\bcopy[- ]initializ": "copy initialization",
+    r"\blist[- ]initializ": "list initialization", r"\baggregate[- ]initializ": "aggregate initialization", r"\breference\s+initializ": "reference initialization",
+    r"\bzero[- ]initializ": "zero initialization", r"\breference\b": "reference", r"\bforwarding\s+reference\b": "forwarding reference",
+    r"\buniversal\s+reference\b": "forwarding reference", r"\brvalue\s+reference\b": "rvalue reference", r"\blvalue\s+reference\b": "lvalue reference",
+    r"\bdangling\s+reference\b": "reference lifetime", r"\blambda\b": "lambda expression", r"\bcapture\b": "lambda capture", r"\bclosure\b": "lambda closure",
+    r"\bco_await\b": "await expression", r"\bcoroutine\b": "coroutine await", r"\bcast\b": "cast expression", r"\bstatic_cast\b": "static cast",
+    r"\bdynamic_cast\b": "dynamic cast", r"\breinterpret_cast\b": "reinterpret cast", r"\bconst_cast\b": "const cast", r"\bsizeof\b": "sizeof expression",
+    r"\balignof\b": "alignof expression", r"\bnew\s+expression\b": "new expression", r"\bdelete\s+expression\b": "delete expression",
+    r"\boperator\s+new\b": "new expression", r"\boperator\s+delete\b": "delete expression", r"\boperator\b": "operator", r"\bconversion\b": "conversion",
+    r"\bimplicit\s+conversion\b": "implicit conversion", r"\bexplicit\s+conversion\b": "explicit conversion", r"\bnarrowing\s+conversion\b": "narrowing conversion",
+    r"\boverload\b": "overload resolution", r"\boverload\s+resolution\b": "overload resolution match", r"\bcandidate\s+function\b": "overload candidate",
+    r"\bviable\s+function\b": "overload viable", r"\bbest\s+viable\b": "overload match best", r"\bambiguous\b": "overload ambiguous", r"\btemplate\b": "template",
+    r"\btemplate\s+parameter\b": "template parameter", r"\btemplate\s+argument\b": "template argument", r"\btemplate\s+instantiation\b": "template instantiation",
+    r"\bexplicit\s+specialization\b": "template explicit specialization", r"\bpartial\s+specialization\b": "template partial specialization",
+    r"\bSFINAE\b": "template substitution failure", r"\bsubstitution\s+failure\b": "template substitution failure", r"\btype\s+deduction\b": "template type deduction",
+    r"\bauto\b": "auto type deduction", r"\bdecltype\b": "decltype", r"\bconcept\b": "concept", r"\bconstraint\b": "concept constraint",
+    r"\brequires\s+clause\b": "requires clause", r"\brequires\s+expression\b": "requires expression", r"\bsatisf": "concept satisfies", r"\bsame_as\b": "same_as concept",
+    r"\bexception\b": "exception", r"\bthrow\b": "throw expression", r"\bcatch\b": "exception catch", r"\btry\b": "exception try", r"\bnoexcept\b": "noexcept",
+    r"\bstack\s+unwinding\b": "exception stack unwinding", r"\bexception\s+specification\b": "exception specification", r"\bcopy\s+constructor\b": "copy constructor",
+    r"\bmove\s+constructor\b": "move constructor", r"\bcopy\s+assignment\b": "copy assignment", r"\bmove\s+assignment\b": "move assignment",
+    r"\bdefault\s+constructor\b": "default constructor", r"\bdestructor\b": "destructor", r"\bimplicitly[- ]declared\b": "implicit special member",
+    r"\bdefaulted\b": "defaulted special member", r"\bdeleted\b": "deleted special member", r"\btrivial\b": "trivial special member", r"\bclass\b": "class",
+    r"\bstruct\b": "class struct", r"\bbase\s+class\b": "base class", r"\bderived\s+class\b": "derived class", r"\binheritance\b": "inheritance", r"\bvirtual\b": "virtual",
+    r"\bpure\s+virtual\b": "pure virtual", r"\babstract\s+class\b": "abstract class", r"\baccess\s+specifier\b": "access specifier", r"\bpublic\b": "public access",
+    r"\bprotected\b": "protected access", r"\bprivate\b": "private access", r"\batomic\b": "atomic", r"\bmemory\s+order\b": "memory order",
+    r"\bsequentially[- ]consistent\b": "sequentially consistent", r"\bacquire\b": "acquire", r"\brelease\b": "release", r"\bfence\b": "fence",
+    r"\bdata\s+race\b": "data race", r"\bhappens[- ]before\b": "happens before", r"\bsynchroniz": "synchronization", r"\bthread\b": "thread",
+    r"\bforward\s+progress\b": "forward progress", r"\bblocking\b": "blocking", r"\bdeadlock\b": "deadlock", r"\biterator\b": "iterator",
+    r"\binput\s+iterator\b": "input iterator", r"\boutput\s+iterator\b": "output iterator", r"\bforward\s+iterator\b": "forward iterator",
+    r"\bbidirectional\s+iterator\b": "bidirectional iterator", r"\brandom\s+access\s+iterator\b": "random access iterator",
+    r"\bcontiguous\s+iterator\b": "contiguous iterator", r"\bbegin\b": "begin iterator", r"\bend\b": "end iterator", r"\brange\b": "range",
+    r"\brange[- ]based\s+for\b": "range-based for", r"\bview\b": "range view", r"\bfor\s+loop\b": "for statement", r"\bwhile\s+loop\b": "while statement",
+    r"\bif\s+statement\b": "if statement", r"\bswitch\s+statement\b": "switch statement", r"\breturn\s+statement\b": "return statement", r"\bintegral\b": "integral type",
+    r"\bfloating[- ]point\b": "floating point type", r"\bvoid\b": "void type", r"\bbool\b": "bool type", r"\bpointer\b": "pointer", r"\bnullptr\b": "nullptr",
+    r"\barray\b": "array", r"\bfunction\s+pointer\b": "function pointer", r"\bmember\s+pointer\b": "member pointer",
+}
+
+# Names in rewrite rules that are no functions, and headers of library modules.
+PRIMITIVES = (
+    "tv", "utype", "type", "ut", "t", "lnew", "loc", "base", "bnew", "obj", "list", "Map", "Set", "List", "ListItem", "SetItem", "reval", "lval", "voidVal", "piece",
+    "uninit", "makeArray", "fillArray", "Computation", "Call", "addProv", "fromArray", "size", "max", "min", "stripStorageSpecifiers", "dynamicType", "pointerType",
+    "arrayType", "lengthString", "isNull", "isNativeLoc", "NullPointer",
+)
+MODULE_HEADERS = {
+    "LIBC-STDLIB": "stdlib.h", "LIBC-STDLIB-SYNTAX": "stdlib.h", "LIBC-STRING": "string.h", "LIBC-STRING-SYNTAX": "string.h", "LIBC-STDIO": "stdio.h",
+    "LIBC-STDIO-SYNTAX": "stdio.h", "LIBC-MATH": "math.h", "LIBC-MATH-SYNTAX": "math.h", "LIBC-CTYPE": "ctype.h", "LIBC-CTYPE-SYNTAX": "ctype.h", "LIBC-STDARG": "stdarg.h",
+    "LIBC-STDARG-SYNTAX": "stdarg.h", "LIBC-TIME": "time.h", "LIBC-TIME-SYNTAX": "time.h", "LIBC-LOCALE": "locale.h", "LIBC-LOCALE-SYNTAX": "locale.h",
+    "LIBC-SIGNAL": "signal.h", "LIBC-SIGNAL-SYNTAX": "signal.h", "LIBC-SETJMP": "setjmp.h", "LIBC-SETJMP-SYNTAX": "setjmp.h", "LIBC-ASSERT": "assert.h",
+    "LIBC-ASSERT-SYNTAX": "assert.h", "LIBC-ERRNO": "errno.h", "LIBC-ERRNO-SYNTAX": "errno.h",
+}

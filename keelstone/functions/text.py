@@ -189,7 +189,7 @@ def function_name(block: Column, lhs: Column) -> Column:
     return F.when(builtin != "", builtin).when((plain != "") & ~plain.isin(*P.NOT_FUNCTIONS), plain)
 
 
-def function_calls(rhs: Column, primitives: Sequence[str] = ()) -> Column:
+def function_calls(rhs: Column, primitives: Sequence[str] = P.PRIMITIVES) -> Column:
     """the sorted names that are called, without primitives, and all builtins."""
     called = F.regexp_extract_all(rhs, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), F.lit(1))
     if primitives:
@@ -216,6 +216,29 @@ def spec_types(spec: Column) -> Column:
     return F.array_distinct(F.concat(thrown, labels([("pointer", spec.rlike(r"(?i)\bpointer\b|\bis_pointer\b")), ("null", spec.rlike(r"(?i)\bnull\b|\bis_null\b"))])))
 
 
+def exceptions(content: Column, names: Sequence[str] = P.EXCEPTIONS) -> Column:
+    """the exceptions that a text names, without case."""
+    low = F.lower(content)
+    return labels((n, low.rlike(rf"\b{n}\b")) for n in names)
+
+
+def concepts(content: Column, table: Mapping[str, str] = P.CONCEPTS) -> Column:
+    """the queries of the language concepts that a text mentions, sorted.
+
+    The table is one array literal that a lambda runs over, not a column per pattern.
+    """
+    low = F.lower(content)
+    rules = F.array(*[F.struct(F.lit("(?i)" + k).alias("k"), F.lit(v).alias("v")) for k, v in table.items()])
+    return F.array_sort(F.array_distinct(F.transform(F.filter(rules, lambda r: F.regexp(low, r["k"])), lambda r: r["v"])))
+
+
+def type_references(signature: Column, content: Column, spec: Column) -> Column:
+    """everything that a rule refers to: types of its signature, exceptions, concepts, types of its specification."""
+    none = F.array().cast("array<string>")
+    parts = (signature_types(signature, P.SIGNATURE_TYPES), exceptions(content), concepts(content), spec_types(spec))
+    return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(p, none) for p in parts])))
+
+
 def signature_types(signature: Column, table: Mapping[str, str]) -> Column:
     """type names by a table of regular expressions, with references, pointers and std templates."""
     base = [("reference", F.contains(signature, F.lit("&"))), ("pointer", F.contains(signature, F.lit("*")))]

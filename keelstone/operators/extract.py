@@ -106,9 +106,10 @@ def rules_from(parsed: DataFrame, headers: dict[str, str] | None = None) -> Data
     A condition without an error is a precondition; a standard's text on a function a
     postcondition; an error on a function a constraint; any other library function an effect.
     """
-    known = headers or {}
+    known = P.MODULE_HEADERS if headers is None else headers
     has_error, fn = F.col("error_type").isNotNull(), F.col("function").isNotNull()
-    library = F.startswith("module", F.lit("LIBC-")) | F.col("module").isin(*known) | F.contains("lhs", F.lit('builtin("')) if known else F.startswith("module", F.lit("LIBC-")) | F.contains("lhs", F.lit('builtin("'))
+    library = F.startswith("module", F.lit("LIBC-")) | F.contains("lhs", F.lit('builtin("')) | F.col("module").isin(*known)
+    header = F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("module")) if known else F.lit(None).cast("string")
     kind = (
         F.when(F.col("requires").isNotNull() & ~has_error, "precondition").when((F.col("std_text") != "") & fn, "postcondition")
         .when(has_error & fn, "constraint").when(fn & library, "effect")
@@ -118,7 +119,7 @@ def rules_from(parsed: DataFrame, headers: dict[str, str] | None = None) -> Data
     content = F.coalesce(F.nullif(F.col("std_text"), F.lit("")), F.when(kind == "constraint", F.col("error_message")), F.concat(F.initcap(op), F.lit(" requires: "), F.array_join(X.conditions(F.coalesce("requires", F.col("rhs"))), ", "), F.lit(".")))
     rows = parsed.withColumn("rule_type", kind).where("rule_type is not null")
     return rows.select(
-        X.rule_id(F.col("module"), op, spec).alias("id"), content.alias("content"), spec.alias("formal_spec"), "rule_type", "function", "module", "path", "line_start", "line_end",
+        X.rule_id(F.col("module"), op, spec).alias("id"), content.alias("content"), spec.alias("formal_spec"), "rule_type", "function", header.alias("header"), "module", "path", "line_start", "line_end",
         X.spec_tags(F.coalesce("requires", F.lit("")), F.col("lhs")).alias("tags"), F.nullif("std_ref", F.lit("")).alias("std_ref"), "rhs", "ord", "error_code",
     )
 
