@@ -50,11 +50,18 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A text that loses words is put together anew, with single spaces, and its ``n_chars``
     is counted again; others stay as they are.
     """
-    cut = substring_dedup(docs, width=35)
+    # Texts come back from the operator, so the join moves each text once.
+    taken = [*docs.columns, "n_words", "n_removed", "kept_text"]
+    null, size = free_name(taken, "null"), free_name(taken, "size")
+    rest = [c for c in docs.columns if c not in ("text", "n_chars", "n_words", "n_removed", "kept_text")]
+    own = {c: free_name(taken, f"own_{c}") for c in docs.columns if c in ("n_words", "n_removed", "kept_text")}
+    rows = docs.withColumns({null: F.col("text").isNull(), size: F.col("n_chars")} | {new: F.col(c) for c, new in own.items()})
+    cut = substring_dedup(rows, width=35, keep=[*rest, null, size, *own.values()], as_is=True)
     lost = F.col("n_removed") > 0
-    text = F.when(lost, F.col("kept_text")).otherwise(F.col("text"))
-    size = F.when(lost, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumns({"text": text, "n_chars": size}).select(docs.columns)
+    text = F.when(~F.col(null), F.col("kept_text"))
+    chars = F.when(lost, F.length("kept_text").cast("long")).otherwise(F.col(size))
+    out = {"text": text, "n_chars": chars} | {c: F.col(new) for c, new in own.items()}
+    return cut.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,43 +3,29 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN_FOLDERS: dict[str, str] = {}
+from keelstone.plans.state import shared_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a local
-    session (tests) gets a temporary folder; any other session is refused,
-    because a machine-local folder would not be visible to its executors.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDERS:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="keelstone-")
-    return _OWN_FOLDERS[app]
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote and nothing reads any more."""
+    for df in tables:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.keelstone_path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
-
-    Cuts the lineage in a way that survives lost executors.
-    """
+    """Write ``df`` to the shared folder as Parquet and read it back; :func:`discard` deletes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/keelstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.keelstone_path = path
+    return out
 
 
 def text_key(text: Column) -> list[Column]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keelstone.llm._common import materialise, parts_for, text_bytes, text_key
+from keelstone.llm._common import discard, materialise, parts_for, text_bytes, text_key
 from keelstone.llm._words import Buckets, chunks, ngrams, word_hashes
 from keelstone.llm.components import connected
 
@@ -219,21 +219,23 @@ def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
     star = grouped.join(reps, "grp").where("node <> rep").select(F.col("rep").alias("x"), F.col("node").alias("y"))
     comps = nodes.select("node", F.col("node").alias("comp"))
     comps = materialise(_closed(comps, materialise(_verified(star, nodes, num, den), "links")), "comps")
-    tested = None
+    tested, used = None, [nodes]
     for hubs in HUBS:
         subs = nodes.select("node", "n", "own", "prefix", F.struct("g1", "g2").alias("grp")).join(comps, "node").withColumn("sid", F.xxhash64("grp", "comp"))
         member = subs.select("sid", "node")
         subs = materialise(subs.groupBy("sid", "comp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix")), "subs")
         posts = materialise(_postings(subs.select("sid", F.xxhash64("comp").alias("cid"), "n", "own", "prefix")), "posts")
         longest = posts.agg(F.max("size").alias("s")).first()["s"]
+        used += [subs, posts]
         if longest is None:
-            return comps
+            break
         met = _candidates(posts, hubs, num, den)
         one, two = (subs.select(F.col("sid").alias(f"sid{i}"), F.col("rep").alias(f"rep{i}"), F.col("m").alias(f"m{i}")) for i in (1, 2))
         pairs = met.join(one, "sid1").join(two, "sid2")
         if tested is not None:  # larger groups may have gained members since
             pairs = pairs.join(tested.withColumn("old", F.lit(True)), ["rep1", "rep2"], "left").where("old is null or m1 > 1 or m2 > 1").drop("old")
         pairs = materialise(pairs, "pairs")
+        used.append(pairs)
         found = _verified(pairs.select(F.col("rep1").alias("x"), F.col("rep2").alias("y")), nodes, num, den)
         comps = materialise(_closed(comps, materialise(found, "links")), "comps")
         # groups whose representatives do not link are expanded to all members
@@ -245,10 +247,11 @@ def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
             both = first.join(member, "sid").select("x", F.col("node").alias("y")).distinct()
             comps = materialise(_closed(comps, materialise(_verified(both, nodes, num, den), "links")), "comps")
         if hubs is None or longest <= hubs + 1:
-            return comps
+            break
         done = pairs.where("m1 = 1 and m2 = 1").select(F.least("rep1", "rep2").alias("rep1"), F.greatest("rep1", "rep2").alias("rep2"))
         done = done.unionByName(done.select(F.col("rep2").alias("rep1"), F.col("rep1").alias("rep2")))
         tested = done if tested is None else tested.unionByName(done).distinct()
+    discard(*used)
     return comps
 
 
@@ -266,6 +269,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialise(shingle_classes(docs, text_col, k, num, den), "classes")
     comps = class_components(classes, num, den)
     sized = classes.select(F.struct("k1", "k2").alias("node"), "n").join(comps, "node", "left").select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "n", F.coalesce("comp", "node").alias("comp"))
+    sized = materialise(sized, "sized")
+    discard(classes)
     rows = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)))
     lowest = rows.groupBy("k1", "k2").agg(F.min("id").alias("low"))
     labelled = sized.join(lowest, ["k1", "k2"])

@@ -88,7 +88,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    classes = repeat_classes(docs, width=35).select("k1", "k2", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    classes = repeat_classes(docs, width=35).select("k1", "k2", "n_words", "n_removed", "kept_sha256")
     rows = docs.select("doc_id", *text_key(F.col("text")))
     return rows.join(classes, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 

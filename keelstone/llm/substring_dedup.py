@@ -173,7 +173,7 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 _KEPT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", _SPAN)])
 
 
-def _cut(width: int, block: int):
+def _cut(width: int, block: int, as_is: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _KEPT.empty_table()
@@ -190,7 +190,7 @@ def _cut(width: int, block: int):
             for i, j in enumerate(run):
                 g = gone[cut[i] : cut[i + 1]]
                 if not g.any():
-                    rows.append((k1[j], k2[j], len(g), 0, b" ".join(texts[j].split()).decode(), []))
+                    rows.append((k1[j], k2[j], len(g), 0, (texts[j] if as_is else b" ".join(texts[j].split())).decode(), []))
                     continue
                 raw = np.frombuffer(texts[j], np.uint8)
                 a, b = _spans(raw)
@@ -203,8 +203,12 @@ def _cut(width: int, block: int):
     return run
 
 
-def repeat_classes(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFrame:
-    """One row per distinct text: ``k1, k2, n_words, n_removed, kept_text, spans``.
+def repeat_classes(docs: DataFrame, text_col: str = "text", width: int = 35, as_is: bool = False) -> DataFrame:
+    """One row per distinct text: ``k1, k2, n_words, n_removed, kept_text, kept_sha256, spans``.
+
+    The digest is made before texts are shuffled, so a caller that takes only it moves no
+    texts.  With ``as_is``, a text that loses nothing is its own ``kept_text``, white space
+    and all.
 
     ``spans`` are the maximal exact repeats, in words.  Copies of a text are taken
     into account, so a text of two rows or more has no word left if it has a window.
@@ -217,7 +221,8 @@ def repeat_classes(docs: DataFrame, text_col: str = "text", width: int = 35) ->
     hits = sent.groupBy("bucket").applyInArrow(_repeated(_BLOCK, np.uint32), _SENT_SQL)
     windows = texts.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(_extend(buckets, width, block), _SENT_SQL)
     again = windows.groupBy("bucket").applyInArrow(_repeated(0, np.uint64), _SENT_SQL)
-    kept = texts.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(_cut(width, block), _KEPT_SQL)
+    kept = texts.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(_cut(width, block, as_is), _KEPT_SQL)
+    kept = kept.withColumn("kept_sha256", F.sha2("kept_text", 256))
     copies = docs.select(*text_key(F.col(text_col))).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
     all_gone = (F.col("copies") > 1) & (F.col("n_words") >= width)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length")))
@@ -225,22 +230,24 @@ def repeat_classes(docs: DataFrame, text_col: str = "text", width: int = 35) ->
         "k1", "k2", "n_words",
         F.when(all_gone, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(all_gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        F.when(all_gone, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         F.when(all_gone, whole).otherwise(F.col("spans")).alias("spans"),
     )
 
 
-def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = 35) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (words left, joined by one space).
+def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = 35, keep: list[str] | None = None, as_is: bool = False) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``n_words``, ``n_removed`` and ``kept_text`` (words left, joined by one space).
 
     Null and empty texts have no words and an empty ``kept_text``.  Texts of fewer
-    than ``width`` words lose nothing.  Every row keeps its own columns; of a column
+    than ``width`` words lose nothing.  With ``as_is``, the ``kept_text`` of a text that
+    loses nothing is the text itself.  Every row keeps its own columns; of a column
     that has one of the new names, the new one takes its place.  An empty table gives
     an empty result.
     """
-    classes = repeat_classes(docs, text_col, width).select("k1", "k2", "n_words", "n_removed", "kept_text")
+    classes = repeat_classes(docs, text_col, width, as_is).select("k1", "k2", "n_words", "n_removed", "kept_text")
     a, b = free_name(docs.columns, "k1"), free_name(docs.columns, "k2")
     keys = [x.alias(n) for x, n in zip(text_key(F.col(text_col)), (a, b), strict=True)]
     new = {"n_words", "n_removed", "kept_text"}
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    own = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     rows = docs.select(*own, *keys)
     return rows.join(classes.withColumnsRenamed({"k1": a, "k2": b}), [a, b]).select(*own, *sorted(new))
