@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import itertools
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+_CALLS = itertools.count()
+
+
+def release(every: int = 1) -> None:
+    """In a worker: give memory that is free back to the system, at each ``every``-th call.
+
+    Workers are kept between stages, so what their allocators hold on to would add up.
+    """
+    if next(_CALLS) % every == 0:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes of a text, as columns ``k1`` and ``k2``.
 

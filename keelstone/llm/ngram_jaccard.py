@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keelstone.llm._common import discard, materialise, parts_for, text_bytes, text_key
+from keelstone.llm._common import discard, materialise, parts_for, release, text_bytes, text_key
 from keelstone.llm._words import Buckets, chunks, ngrams, word_hashes
 from keelstone.llm.components import connected
 
@@ -67,6 +67,7 @@ def first_copies(batches):
             keep.append(key not in seen)
             seen.add(key)
         yield batch.filter(pa.array(keep, pa.bool_()))
+        release()
 
 
 def dealt_texts(docs: DataFrame, text: str, parts: int) -> DataFrame:
@@ -81,6 +82,7 @@ def distinct_texts(table: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
     at = {}
     for i, key in enumerate(zip(table["k1"].to_pylist(), table["k2"].to_pylist(), strict=True)):
         at.setdefault(key, i)
+    release(every=16)
     keys = sorted(at)
     texts = table["text"].cast(pa.large_binary()).take(pa.array([at[x] for x in keys], pa.int64())).to_pylist()
     return [x[0] for x in keys], [x[1] for x in keys], texts

@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from keelstone.llm._common import materialise
+from keelstone.llm._common import materialise, release
 
 #: Whitespace-free chunks whose ids a worker remembers: twice as many, at about 200 bytes each.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 200_000
 #: Chunks that are encoded in one call.
 TOGETHER = 4096
 #: Signs at the end of a chunk, after a letter or digit, are a token group of their own.
@@ -252,6 +252,8 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             types = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]], names=["id", "start", "length", "ids_crc32", "doc_tokens", "task", "number", "ids"])
+            del out, cols, texts
+            release()
 
     return run
 

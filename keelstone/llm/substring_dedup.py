@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelstone.llm._common import free_name, parts_for, text_bytes, text_key
+from keelstone.llm._common import free_name, parts_for, release, text_bytes, text_key
 from keelstone.llm._words import Buckets, _spans, chunks, ngrams, word_hashes
 from keelstone.llm.ngram_jaccard import dealt_texts
 
@@ -39,6 +39,7 @@ def part_texts(table: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
     at = {}
     for i, key in enumerate(zip(table["k1"].to_pylist(), table["k2"].to_pylist(), strict=True)):
         at.setdefault(key, i)
+    release(every=16)
     keys = sorted(at)
     texts = table["text"].cast(pa.large_binary()).take(pa.array([at[x] for x in keys], pa.int64())).to_pylist()
     return [x[0] for x in keys], [x[1] for x in keys], texts

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelstone.llm._common import materialise
+from keelstone.llm._common import materialise, release
 from keelstone.llm.boosting import BoostedTrees, isotonic
 
 #: Labelled rows that the model is fitted on, at most.
@@ -242,6 +242,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*([batch.column("row")] if rest else []), *([batch.column("text")] if text_col in own else []), pa.array(model.scores(texts), pa.float64())], names=names)
+            del texts
+            release()
 
     row = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")] if rest else []
     rows = docs.select(*row, F.col(text_col).alias("text"))
