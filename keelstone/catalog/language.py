@@ -47,6 +47,10 @@ _VALIDATED = f"""chain AS (SELECT claim_id, count(*) AS n_steps, min(confidence)
   coalesce(n, 0) AS n_contradictions, coalesce(layer = 'c11_core', false) AS grounded, CASE WHEN n IS NOT NULL THEN 'INVALID' WHEN layer = 'c11_core' THEN 'VALID' WHEN n_steps > 0 THEN 'LIKELY VALID' ELSE 'UNCERTAIN' END AS status
   FROM c LEFT JOIN chain USING (claim_id) LEFT JOIN against USING (claim_id))"""
 
+_NEGATED = """list_filter([CASE WHEN contains(l, 'is safe') THEN replace(l, 'is safe', 'is unsafe') END, CASE WHEN contains(l, 'is safe') THEN replace(l, 'is safe', 'undefined behavior') END,
+ CASE WHEN contains(l, 'defined') AND NOT contains(l, 'undefined') THEN replace(l, 'defined', 'undefined') END, CASE WHEN contains(l, 'valid') THEN replace(l, 'valid', 'invalid') END,
+ CASE WHEN contains(l, 'can') THEN replace(l, 'can', 'cannot') END, CASE WHEN contains(l, 'will') THEN replace(l, 'will', 'will not') END, 'not ' || claim, 'undefined behavior ' || claim], lambda x: x IS NOT NULL)"""
+
 
 def claims(spark, sf):
     """Sentences of all conversations."""
@@ -176,6 +180,12 @@ def f14_negations(spark, sf):
     return c.select("claim_id", F.md5(F.array_join(X.negations(F.col("claim")), "|")).alias("digest"))
 
 
+@query(f"""WITH c AS ({_CLAIMS}) SELECT claim_id, {_NEGATED} AS variants FROM (SELECT *, lower(claim) AS l FROM c)""")
+def f14_all_negations(spark, sf):
+    """F14 of every claim; ``f14_negations`` leaves out those that its SQL leaves out."""
+    return claims(spark, sf).select("claim_id", X.negations(F.col("claim")).alias("variants"))
+
+
 @query("SELECT item_id, concat_ws(',', CASE WHEN contains(l, 'th') THEN 'a' END, CASE WHEN contains(l, 'ing') OR contains(l, 'tion') THEN 'b' END) AS terms FROM (SELECT item_id, lower(text) AS l FROM benchmark)")
 def f15_terms(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(X.terms(F.col("text"), {"a": ("th",), "b": ("ing", "tion")}), ",").alias("terms"))
