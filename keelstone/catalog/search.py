@@ -203,3 +203,39 @@ def o3_argmax_path(spark, sf):
     return paths.groupBy("start").agg(F.max("depth").alias("depth"))
 
 
+# -- graph, to the bound of 10 edges -------------------------------------------------------
+
+_PATHS_10 = _PATHS.replace("p.depth < 5", "p.depth < 10")
+
+
+def _vertices(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+
+
+def _longest_10(spark, sf):
+    v = _vertices(spark, sf)
+    return graph.longest_paths(v.select("id"), _edges(spark, sf), v.where("label < 2").select("id"), checkpoint=materialise)
+
+
+@query(f"""{_PATHS_10}, g AS (SELECT p.*, array_to_string(path, ',') AS s FROM p JOIN embeddings v ON v.vec_id = p.node WHERE v.label < 2 AND depth > 0)
+ SELECT start, depth, s AS path FROM g QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, path) = 1""")
+def g1_longest_paths_10(spark, sf):
+    return _longest_10(spark, sf).select("start", "depth", F.array_join("path", ",").alias("path"))
+
+
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), p(start, node, depth) AS (SELECT vec_id, vec_id, 0 FROM embeddings UNION SELECT p.start, e.dst, p.depth + 1 FROM p JOIN e ON e.src = p.node WHERE p.depth < 10)
+ SELECT start, node, min(depth) AS steps FROM p WHERE node <> start GROUP BY 1, 2""")
+def g2_reachability_10(spark, sf):
+    return graph.reachable(_vertices(spark, sf).select("id"), _edges(spark, sf), checkpoint=materialise)
+
+
+@query(f"""{_PATHS_10}, g AS (SELECT start, path FROM p JOIN embeddings v ON v.vec_id = p.node WHERE v.label < 2 AND depth > 0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, path) = 1),
+ s AS (SELECT start, unnest(range(2, len(path) + 1)) AS i, path FROM g), f AS (SELECT start, i - 1 AS pos, path[i] AS id FROM s) SELECT start, id, pos FROM f JOIN embeddings v ON v.vec_id = f.id WHERE v.label < 2 QUALIFY row_number() OVER (PARTITION BY start ORDER BY pos) = 1""")
+def g6_first_grounded_10(spark, sf):
+    return graph.first_on_path(_longest_10(spark, sf), _vertices(spark, sf), F.col("label") < 2).select("start", "id", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"{_PATHS_10} SELECT start, max(depth) AS depth FROM p WHERE depth > 0 GROUP BY 1")
+def o3_argmax_path_10(spark, sf):
+    paths = graph.simple_paths(_vertices(spark, sf).select("id"), _edges(spark, sf), checkpoint=materialise)
+    return paths.groupBy("start").agg(F.max("depth").alias("depth"))

@@ -2,6 +2,7 @@
 
 from keelstone import catalog
 from keelstone.catalog import language
+from tests.oracle import connect
 
 
 def brute_negations(claim):
@@ -21,3 +22,30 @@ def test_every_claim_is_negated(spark, sf_dir):
     got = {r["claim_id"]: r["variants"] for r in catalog.QUERIES["f14_all_negations"](spark, sf_dir).collect()}
     assert got == {i: brute_negations(c) for i, c in claims.items()}
     assert any(not c.isascii() for c in claims.values())
+
+
+def brute_steps(n, most):
+    """Fewest steps between vertices of the graph of the catalog, and each start's longest simple path."""
+    hop = {i: sorted({(7 * i + 1) % n, (3 * i + 2) % n}) for i in range(n)}
+    steps, longest = {}, {}
+    for start in range(n):
+        seen, front = {start: 0}, [start]
+        for d in range(1, most + 1):
+            front = [x for x in sorted({y for v in front for y in hop[v]}) if x not in seen]
+            seen |= {x: d for x in front}
+        steps |= {(start, x): d for x, d in seen.items() if d}
+        paths = [(start,)]
+        for d in range(1, most + 1):
+            paths = [(*p, x) for p in paths for x in hop[p[-1]] if x not in p]
+            if paths:
+                longest[start] = d
+    return steps, longest
+
+
+def test_graphs_go_to_ten_steps(spark, sf_dir):
+    n = connect(sf_dir).execute("select count(*) from embeddings").fetchone()[0]
+    steps, longest = brute_steps(n, 10)
+    assert {(r["start"], r["node"]): r["steps"] for r in catalog.QUERIES["g2_reachability_10"](spark, sf_dir).collect()} == steps
+    assert {r["start"]: r["depth"] for r in catalog.QUERIES["o3_argmax_path_10"](spark, sf_dir).collect()} == longest
+    assert max(steps.values()) > 5
+    assert max(longest.values()) == 10
