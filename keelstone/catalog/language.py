@@ -8,6 +8,8 @@ from keelstone.catalog._registry import LOW, query, table
 from keelstone.functions import text as X
 from keelstone.operators import extract, linking, reasoning, vectors
 from keelstone.operators.store import first_per_key
+from keelstone.plans import validation
+from keelstone.plans.state import materialise
 
 # -- lexicons that occur in the test corpus --------------------------------------------------
 
@@ -51,6 +53,16 @@ _NEGATED = """list_filter([CASE WHEN contains(l, 'is safe') THEN replace(l, 'is
  CASE WHEN contains(l, 'defined') AND NOT contains(l, 'undefined') THEN replace(l, 'defined', 'undefined') END, CASE WHEN contains(l, 'valid') THEN replace(l, 'valid', 'invalid') END,
  CASE WHEN contains(l, 'can') THEN replace(l, 'can', 'cannot') END, CASE WHEN contains(l, 'will') THEN replace(l, 'will', 'will not') END, 'not ' || claim, 'undefined behavior ' || claim], lambda x: x IS NOT NULL)"""
 
+_FOUND = """re AS (SELECT DISTINCT 'rule_' || item_id AS src, 'rule_' || unnest([(item_id * 7 + 1) % n, (item_id * 3 + 2) % n]) AS dst FROM benchmark, (SELECT count(*) AS n FROM benchmark)),
+ p(start, node, path, depth) AS (SELECT id, id, [id], 0 FROM (SELECT DISTINCT id FROM cl WHERE step = 1 AND layer <> 'c11_core') UNION ALL SELECT p.start, re.dst, list_append(p.path, re.dst), p.depth + 1 FROM p JOIN re ON re.src = p.node WHERE p.depth < 10 AND NOT list_contains(p.path, re.dst)),
+ lp AS (SELECT start, path FROM p JOIN r ON r.id = p.node WHERE r.layer = 'c11_core' AND depth > 0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, path) = 1),
+ fd AS (SELECT start, r.confidence AS found FROM (SELECT start, i, path[i] AS id FROM (SELECT start, path, unnest(range(2, len(path) + 1)) AS i FROM lp)) JOIN r USING (id) WHERE r.layer = 'c11_core' QUALIFY row_number() OVER (PARTITION BY start ORDER BY i) = 1),
+ gc AS (SELECT a.*, a.layer = 'c11_core' OR fd.start IS NOT NULL AS safe, CASE WHEN fd.start IS NOT NULL THEN least(a.least, fd.found) ELSE a.least END AS lowest FROM (SELECT claim_id, count(*) AS n_steps, min(confidence) AS least, arg_min(id, step) AS first_id, arg_min(layer, step) AS layer, bool_or(relationship = 'SUPPORTS') AS supported FROM cl GROUP BY 1) a LEFT JOIN fd ON fd.start = a.first_id),
+ gval AS (SELECT c.claim_id, n IS NULL AS is_valid, round(CASE WHEN n IS NOT NULL THEN 1 - surest WHEN safe AND supported THEN lowest WHEN safe THEN 0.5 WHEN n_steps > 0 THEN 0.8 * lowest ELSE 0.3 END::DOUBLE, 6) AS confidence,
+  coalesce(n, 0) AS n_contradictions, coalesce(safe, false) AS grounded, CASE WHEN n IS NOT NULL THEN 'INVALID' WHEN safe THEN 'VALID' WHEN n_steps > 0 THEN 'LIKELY VALID' ELSE 'UNCERTAIN' END AS status, first_id
+  FROM c LEFT JOIN gc USING (claim_id) LEFT JOIN against USING (claim_id)),
+ worst AS (SELECT claim_id, id, kind FROM (SELECT claim_id, id, 'entailment' AS kind, 0 AS a, step AS b FROM cl WHERE relationship = 'CONTRADICTS' UNION ALL SELECT d.claim_id, d.id, d.kind, CASE WHEN sure > 0.8 THEN 1 ELSE 2 END, h.rank FROM (SELECT * FROM det ANTI JOIN own USING (claim_id, id)) d JOIN hits h USING (claim_id, id)) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY a, b, id) = 1)"""
+
 
 def claims(spark, sf):
     """Sentences of all conversations."""
@@ -327,10 +339,14 @@ def p8_threshold(spark, sf):
     return hits(spark, sf).select("claim_id", "id", X.passes(F.col("distance"), F.col("claim"), F.col("content")).alias("passes"), F.round(X.similarity(F.col("distance")), 6).alias("similarity"))
 
 
+def _detected(spark, sf, h):
+    return reasoning.detect(h, validation.term_searches(claims(spark, sf), rules(spark, sf), dangerous=DANGEROUS), LEXICON)
+
+
 @query(f"WITH {_HITS}, {_DETECTED} SELECT claim_id, id, sure::DOUBLE AS sure FROM det")
 def r7_contradictions(spark, sf):
     h = hits(spark, sf)
-    return reasoning.detect(h, h.where("rank <= 5"), LEXICON).select("claim_id", "id", "sure")
+    return _detected(spark, sf, h).select("claim_id", "id", "sure")
 
 
 @query(f"WITH c AS ({_CLAIMS}) SELECT claim_id, {_DANGEROUS} AS dangerous FROM c")
@@ -341,7 +357,7 @@ def r8_dangerous(spark, sf):
 def _validated(spark, sf):
     h = hits(spark, sf)
     steps = reasoning.chain_steps(h, LEXICON)
-    against = reasoning.combined(steps, reasoning.detect(h, h.where("rank <= 5"), LEXICON))
+    against = reasoning.combined(steps, _detected(spark, sf, h))
     return reasoning.validate(claims(spark, sf), reasoning.chains(steps), against)
 
 
@@ -355,10 +371,32 @@ def r9_status_counts(spark, sf):
     return _validated(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rule_edges(spark, sf):
+    """Each rule depends on two others."""
+    b = table(spark, sf, "benchmark")
+    i, n = F.col("item_id"), b.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return b.select(F.concat(F.lit("rule_"), i).alias("src"), F.explode(F.array((i * 7 + 1) % n, (i * 3 + 2) % n)).alias("dst")).select("src", F.concat(F.lit("rule_"), "dst").alias("dst")).distinct()
+
+
+@query(f"WITH RECURSIVE {_HITS}, {_STEPS}, {_DETECTED}, {_VALIDATED}, {_FOUND} SELECT * EXCLUDE first_id FROM gval")
+def r10_validate_grounded(spark, sf):
+    """R10 with the foundations of first steps that are not grounded themselves."""
+    out = validation.validate_claims(claims(spark, sf), rules(spark, sf), rule_edges(spark, sf), LEXICON, materialise)
+    return out.drop("claim", "warnings")
+
+
+@query(f"""WITH RECURSIVE {_HITS}, {_STEPS}, {_DETECTED}, {_VALIDATED}, {_FOUND} SELECT claim_id, status, CASE status WHEN 'INVALID' THEN 'INVALID: The claim contradicts formal semantics. The rule ' || chr(39) || id || chr(39) || ' states: ' || content || '. Contradiction type: ' || kind || '.'
+ WHEN 'VALID' THEN 'VALID: The claim is grounded in formal semantics. The rule ' || chr(39) || id || chr(39) || ' states: ' || content WHEN 'LIKELY VALID' THEN 'LIKELY VALID: Found supporting rules but claim is not directly grounded.'
+ ELSE 'UNCERTAIN: No contradictions found, but no supporting rules were found either. Exercise caution.' END AS explanation FROM (SELECT g.claim_id, status, coalesce(w.id, first_id) AS id, kind FROM gval g LEFT JOIN worst w USING (claim_id)) LEFT JOIN r USING (id)""")
+def r9_explanations(spark, sf):
+    out = validation.explain_claims(claims(spark, sf), rules(spark, sf), rule_edges(spark, sf), LEXICON, materialise)
+    return out.select("claim_id", "status", "explanation")
+
+
 @query(f"WITH {_HITS}, {_DETECTED} SELECT c.claim_id, coalesce(max(sure), 0) < 0.8 AS is_valid FROM c LEFT JOIN det USING (claim_id) GROUP BY 1")
 def r11_quick_check(spark, sf):
     h = hits(spark, sf)
-    return reasoning.quick_check(claims(spark, sf), reasoning.detect(h, h.where("rank <= 5"), LEXICON))
+    return reasoning.quick_check(claims(spark, sf), _detected(spark, sf, h))
 
 
 @query(f"WITH c AS ({_CLAIMS}) SELECT claim_id, concat_ws(',', CASE WHEN contains(lower(claim), 'th') THEN 'involves security-sensitive operations' END) AS warnings FROM c")

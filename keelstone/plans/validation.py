@@ -24,34 +24,60 @@ def term_searches(claims: DataFrame, rules: DataFrame, k: int = 5, dangerous=Non
     terms = risky.select("claim_id", "claim", F.posexplode(X.search_terms(F.col("claim"))).alias("n", "term"))
     terms = terms.withColumn("query", F.concat_ws(":", F.col("claim_id").cast("string"), F.col("n").cast("string")))
     hits = search_claims(terms.select(F.col("query").alias("claim_id"), F.col("term").alias("claim")), rules, k)
-    return hits.withColumnRenamed("claim_id", "query").drop("claim").join(terms.select("query", "claim_id", "claim"), "query").drop("query")
+    return hits.withColumnRenamed("claim_id", "query").drop("claim").join(terms.select("query", "claim_id", "claim", "n"), "query").drop("query")
 
 
-def foundations(edges: DataFrame, rules: DataFrame, ids: DataFrame, most: int = 10) -> DataFrame:
+def foundations(edges: DataFrame, rules: DataFrame, ids: DataFrame, most: int = 10, checkpoint=None) -> DataFrame:
     """For each of ``ids`` (column ``id``) the first grounded rule on its longest dependency path."""
     trusted = rules.where(F.col("layer").isin(*GROUNDED))
-    paths = graph.longest_paths(ids, edges, trusted.select("id"), most)
+    paths = graph.longest_paths(ids, edges, trusted.select("id"), most, checkpoint)
     first = graph.first_on_path(paths, rules.select("id", "layer"), F.col("layer").isin(*GROUNDED))
     return first.select(F.col("start").alias("id"), F.col("id").alias("found_id")).join(rules.select(F.col("id").alias("found_id"), F.col("confidence").alias("found_confidence")), "found_id")
 
 
-def validate_claims(claims: DataFrame, rules: DataFrame, edges: DataFrame | None = None, lex: reasoning.Lexicon | None = None) -> DataFrame:
-    """R10 in one plan for all claims: search, chain, contradictions, grounding, verdict, warnings."""
+def _judged(claims: DataFrame, rules: DataFrame, edges: DataFrame | None, lex: reasoning.Lexicon | None, checkpoint) -> tuple[DataFrame, ...]:
+    """Hits of claims, hits of their search terms, chain steps, contradictions, and verdicts."""
     hits = search_claims(claims, rules)
     steps = reasoning.chain_steps(hits, lex)
     found = None
     if edges is not None:
         loose = steps.where((F.col("step") == 1) & ~F.col("layer").isin(*GROUNDED)).select("id").distinct()
-        found = foundations(edges, rules, loose)
+        found = foundations(edges, rules, loose, checkpoint=checkpoint)
     chain = reasoning.chains(steps, found)
-    against = reasoning.combined(steps, reasoning.detect(hits, term_searches(claims, rules), lex))
-    out = reasoning.validate(claims, chain, against)
+    term_hits = term_searches(claims, rules, dangerous=lex and lex.dangerous)
+    against = reasoning.combined(steps, reasoning.detect(hits, term_hits, lex))
+    return hits, term_hits, steps, against, reasoning.validate(claims, chain, against)
+
+
+def validate_claims(claims: DataFrame, rules: DataFrame, edges: DataFrame | None = None, lex: reasoning.Lexicon | None = None, checkpoint=None) -> DataFrame:
+    """R10 in one plan for all claims: search, chain, contradictions, grounding, verdict, warnings."""
+    *_, against, out = _judged(claims, rules, edges, lex, checkpoint)
     contents = against.join(rules.select("id", "content"), "id").groupBy("claim_id").agg(F.collect_list("content").alias("contents"))
     out = out.join(claims.select("claim_id", "claim"), "claim_id").join(contents, "claim_id", "left")
     none = F.array().cast("array<string>")
     return out.withColumn("warnings", X.warnings(F.col("claim"), F.coalesce("contents", none))).drop("contents")
 
 
+def explain_claims(claims: DataFrame, rules: DataFrame, edges: DataFrame | None = None, lex: reasoning.Lexicon | None = None, checkpoint=None) -> DataFrame:
+    """The verdict of each claim with its sentence, about its first contradiction or else its first step.
+
+    Contradicting steps come first, in their order, then detected contradictions, the
+    surest first, in the order of the searches.
+    """
+    hits, term_hits, steps, against, out = _judged(claims, rules, edges, lex, checkpoint)
+    place = lambda at: F.min(F.struct(*at)).alias("place")
+    own = steps.groupBy("claim_id", "id").agg(place([F.lit(0).alias("n"), F.col("step").alias("rank")])).withColumn("way", F.lit("entailment"))
+    terms = term_hits.groupBy("claim_id", "id").agg(place([F.col("n"), F.col("rank")])).withColumn("way", F.lit("pattern"))
+    near = hits.groupBy("claim_id", "id").agg(place([F.lit(0).alias("n"), F.col("rank")])).withColumn("way", F.lit("semantic"))
+    way = F.when(F.col("kind").isin("entailment", "semantic"), F.col("kind")).otherwise("pattern")
+    placed = against.withColumn("way", way).join(own.unionByName(terms).unionByName(near), ["claim_id", "id", "way"])
+    order = F.struct((F.col("kind") != "entailment").alias("a"), (-F.col("sure")).alias("b"), "place", "id")
+    worst = placed.groupBy("claim_id").agg(F.min_by(F.struct("id", "kind"), order).alias("w")).select("claim_id", F.col("w.id").alias("rule_id"), F.col("w.kind").alias("kind"))
+    first = steps.where("step = 1").select("claim_id", F.col("id").alias("first_id"))
+    out = out.join(worst, "claim_id", "left").join(first, "claim_id", "left").withColumn("rule_id", F.coalesce("rule_id", "first_id")).drop("first_id")
+    return reasoning.explain(out.join(rules.select(F.col("id").alias("rule_id"), "content"), "rule_id", "left"))
+
+
 def validate_texts(texts: DataFrame, rules: DataFrame, edges: DataFrame | None = None, lex: reasoning.Lexicon | None = None) -> DataFrame:
     """``texts`` (``text_id, text``) split into claims, each validated; ids are (text, place)."""
     split = texts.select("text_id", F.posexplode(X.claims(F.col("text"))).alias("place", "claim"))

@@ -49,3 +49,27 @@ def test_graphs_go_to_ten_steps(spark, sf_dir):
     assert {r["start"]: r["depth"] for r in catalog.QUERIES["o3_argmax_path_10"](spark, sf_dir).collect()} == longest
     assert max(steps.values()) > 5
     assert max(longest.values()) == 10
+
+
+def test_rules_of_search_terms_contradict(spark, tmp_path):
+    claim = "the of and division alpha beta gamma delta"
+    rules = [(i, f"the of and alpha beta gamma delta word{i}") for i in range(12)] + [(12, "division by zero undefined in the end")]
+    spark.createDataFrame([(1, 0, claim)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(rules, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = {r["id"] for r in language.hits(spark, str(tmp_path)).collect()}
+    found = {r["id"]: r["sure"] for r in catalog.QUERIES["r7_contradictions"](spark, str(tmp_path)).collect()}
+    assert "rule_12" not in near
+    assert found["rule_12"] == 0.9
+    assert catalog.QUERIES["r10_validate"](spark, str(tmp_path)).first()["n_contradictions"] == len(found)
+
+
+def test_dependencies_ground_claims(spark, sf_dir):
+    alone = {r["claim_id"]: r for r in catalog.QUERIES["r10_validate"](spark, sf_dir).collect()}
+    linked = {r["claim_id"]: r for r in catalog.QUERIES["r10_validate_grounded"](spark, sf_dir).collect()}
+    more = [i for i in alone if linked[i]["grounded"] and not alone[i]["grounded"]]
+    assert more
+    assert alone.keys() == linked.keys()
+    assert not [i for i in alone if alone[i]["grounded"] and not linked[i]["grounded"]]
+    said = {r["claim_id"]: r for r in catalog.QUERIES["r9_explanations"](spark, sf_dir).collect()}
+    assert {i: r["status"] for i, r in said.items()} == {i: r["status"] for i, r in linked.items()}
+    assert all(r["explanation"].startswith(r["status"] + ": ") for r in said.values())
