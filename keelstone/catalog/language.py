@@ -53,6 +53,7 @@ _NEGATED = """list_filter([CASE WHEN contains(l, 'is safe') THEN replace(l, 'is
  CASE WHEN contains(l, 'defined') AND NOT contains(l, 'undefined') THEN replace(l, 'defined', 'undefined') END, CASE WHEN contains(l, 'valid') THEN replace(l, 'valid', 'invalid') END,
  CASE WHEN contains(l, 'can') THEN replace(l, 'can', 'cannot') END, CASE WHEN contains(l, 'will') THEN replace(l, 'will', 'will not') END, 'not ' || claim, 'undefined behavior ' || claim], lambda x: x IS NOT NULL)"""
 
+_FORM_HITS = _HITS.replace(_CLAIMS, f"SELECT claim_id * 100 + unnest(range(len(v))) AS claim_id, unnest(v) AS claim FROM (SELECT claim_id, {_NEGATED} AS v FROM (SELECT *, lower(claim) AS l FROM ({_CLAIMS})))", 1)
 _FOUND = """re AS (SELECT DISTINCT 'rule_' || item_id AS src, 'rule_' || unnest([(item_id * 7 + 1) % n, (item_id * 3 + 2) % n]) AS dst FROM benchmark, (SELECT count(*) AS n FROM benchmark)),
  p(start, node, path, depth) AS (SELECT id, id, [id], 0 FROM (SELECT DISTINCT id FROM cl WHERE step = 1 AND layer <> 'c11_core') UNION ALL SELECT p.start, re.dst, list_append(p.path, re.dst), p.depth + 1 FROM p JOIN re ON re.src = p.node WHERE p.depth < 10 AND NOT list_contains(p.path, re.dst)),
  lp AS (SELECT start, path FROM p JOIN r ON r.id = p.node WHERE r.layer = 'c11_core' AND depth > 0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, path) = 1),
@@ -328,6 +329,13 @@ def r2_supporting(spark, sf):
     return hits(spark, sf, 5).select("claim_id", "id", "distance")
 
 
+@query(f"""WITH {_FORM_HITS} SELECT of_claim AS claim_id, id, distance, row_number() OVER (PARTITION BY of_claim ORDER BY form, rank) AS pos FROM (SELECT claim_id // 100 AS of_claim, claim_id % 100 AS form, id, distance, rank FROM hits WHERE rank <= 5
+ QUALIFY row_number() OVER (PARTITION BY claim_id // 100, id, distance ORDER BY claim_id % 100, rank) = 1)""")
+def r2_contradicting(spark, sf):
+    """R2: every rule that a negated form of a claim finds."""
+    return validation.contradicting_hits(claims(spark, sf), rules(spark, sf)).select("claim_id", "id", "distance", F.col("pos").cast("long").alias("pos"))
+
+
 @query(f"WITH {_HITS} SELECT DISTINCT claim, id, content, layer, distance FROM hits")
 def r2_distinct_results(spark, sf):
     """U4: results of several queries, distinct as whole rows."""

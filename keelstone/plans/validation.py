@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keelstone.functions import text as X
 from keelstone.operators import graph, reasoning, store, vectors
@@ -27,6 +28,20 @@ def term_searches(claims: DataFrame, rules: DataFrame, k: int = 5, dangerous=Non
     return hits.withColumnRenamed("claim_id", "query").drop("claim").join(terms.select("query", "claim_id", "claim", "n"), "query").drop("query")
 
 
+def contradicting_hits(claims: DataFrame, rules: DataFrame, k: int = 5) -> DataFrame:
+    """Hits of every negated form of a claim, ``k`` each, distinct as whole rows, numbered by ``pos``.
+
+    Rows are in the order of the forms, then of rank; a caller that wants a list of
+    ``n`` takes the rows with ``pos <= n``.
+    """
+    forms = claims.select("claim_id", F.posexplode(X.negations(F.col("claim"))).alias("n", "form"))
+    forms = forms.withColumn("query", F.concat_ws(":", F.col("claim_id").cast("string"), F.col("n").cast("string")))
+    hits = search_claims(forms.select(F.col("query").alias("claim_id"), F.col("form").alias("claim")), rules, k)
+    hits = hits.withColumnRenamed("claim_id", "query").drop("claim").join(forms.select("query", "claim_id", "n"), "query").drop("query")
+    once = store.first_per_key(hits, ["claim_id", "id", "distance"], ["n", "rank"])
+    return once.withColumn("pos", F.row_number().over(Window.partitionBy("claim_id").orderBy("n", "rank"))).drop("n", "rank")
+
+
 def foundations(edges: DataFrame, rules: DataFrame, ids: DataFrame, most: int = 10, checkpoint=None) -> DataFrame:
     """For each of ``ids`` (column ``id``) the first grounded rule on its longest dependency path."""
     trusted = rules.where(F.col("layer").isin(*GROUNDED))

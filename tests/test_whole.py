@@ -2,6 +2,7 @@
 
 from keelstone import catalog
 from keelstone.catalog import language
+from keelstone.plans import validation
 from tests.oracle import connect
 
 
@@ -73,3 +74,13 @@ def test_dependencies_ground_claims(spark, sf_dir):
     said = {r["claim_id"]: r for r in catalog.QUERIES["r9_explanations"](spark, sf_dir).collect()}
     assert {i: r["status"] for i, r in said.items()} == {i: r["status"] for i, r in linked.items()}
     assert all(r["explanation"].startswith(r["status"] + ": ") for r in said.values())
+
+
+def test_negated_forms_find_more_rules(spark, sf_dir):
+    claims = spark.createDataFrame([(1, "It is valid")], "claim_id long, claim string")
+    rules = spark.createDataFrame([("a", "it is valid"), ("b", "undefined behavior it is valid"), ("c", "not it is valid"), ("d", "invalid")], "id string, content string")
+    rules = rules.selectExpr("*", "'M' AS module", "'library' AS layer", "1.0D AS confidence")
+    rows = validation.contradicting_hits(claims, rules, 1).orderBy("pos").collect()
+    assert [(r["id"], r["pos"]) for r in rows] == [("a", 1), ("c", 2), ("b", 3)]
+    found = {(r["claim_id"], r["id"]) for r in catalog.QUERIES["r2_contradicting"](spark, sf_dir).collect()}
+    assert found - {(r["claim_id"], r["id"]) for r in catalog.QUERIES["r2_supporting"](spark, sf_dir).collect()}
