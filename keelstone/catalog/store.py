@@ -69,6 +69,12 @@ def s10_sections(spark, sf):
     return files.page_sections(p, F.col("html"), 4000, "[cut]").select("page_id", "section")
 
 
+@query("SELECT page_id, CASE WHEN length(html) > 40000 THEN left(html, 40000) || chr(10) || '[truncated]' ELSE html END AS section FROM pages")
+def s10_full_sections(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "html")
+    return files.page_sections(p, F.col("html")).select("page_id", "section")
+
+
 @query("SELECT 0::BIGINT AS n")
 def s11_missing_table(spark, sf):
     return files.table_or_empty(spark, "keelstone_no_such_table", "id string").agg(F.count(F.lit(1)).alias("n"))

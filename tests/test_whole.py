@@ -84,3 +84,10 @@ def test_negated_forms_find_more_rules(spark, sf_dir):
     assert [(r["id"], r["pos"]) for r in rows] == [("a", 1), ("c", 2), ("b", 3)]
     found = {(r["claim_id"], r["id"]) for r in catalog.QUERIES["r2_contradicting"](spark, sf_dir).collect()}
     assert found - {(r["claim_id"], r["id"]) for r in catalog.QUERIES["r2_supporting"](spark, sf_dir).collect()}
+
+
+def test_sections_are_whole_up_to_40000_characters(spark, tmp_path):
+    pages = [(1, "x" * 4001), (2, "y" * 40000), (3, "z" * 40001), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["section"] for r in catalog.QUERIES["s10_full_sections"](spark, str(tmp_path)).collect()}
+    assert got == {1: pages[0][1], 2: pages[1][1], 3: "z" * 40000 + "\n[truncated]", 4: None}
