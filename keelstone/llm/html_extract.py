@@ -46,6 +46,8 @@ _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"},
 }
+# What may stand in a head; any other element, and text, ends a head that is open.
+_IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 _STOPS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -87,7 +89,10 @@ def parse_html(source: str) -> Node:
     stack, at, n = [root], 0, len(source)
     for m in iter(lambda: _MARK.search(source, at), None):
         if m.start() > at:
-            stack[-1].kids.append(html.unescape(source[at : m.start()]))
+            text = html.unescape(source[at : m.start()])
+            while stack[-1].name == "head" and text.strip():
+                stack.pop()
+            stack[-1].kids.append(text)
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
@@ -99,6 +104,8 @@ def parse_html(source: str) -> Node:
                     del stack[i:]
                     break
             continue
+        while stack[-1].name == "head" and name not in _IN_HEAD:
+            stack.pop()
         if name in _CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
@@ -125,8 +132,10 @@ def parse_html(source: str) -> Node:
             continue
         stack.append(node)
     if at < n:
-        root_text = source[at:]
-        stack[-1].kids.append(html.unescape(root_text))
+        root_text = html.unescape(source[at:])
+        while stack[-1].name == "head" and root_text.strip():
+            stack.pop()
+        stack[-1].kids.append(root_text)
     return root
 
 
