@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keelstone.catalog._registry import LOW, query, table
 from keelstone.functions import text as X
@@ -17,6 +18,7 @@ POSITIVE, NEGATIVE = ("the ",), ("and ",)
 TOPICS = {"th": ("th",), "er": ("er ",), "en": ("en ",)}
 SAFETY, DANGER = ("the ",), ("and ",)
 PAIRS = ((" of ", " the ", "direct"), (" is ", " and ", "implied"))
+CONCEPTS = ((("th",), "the of and"), (("zzz",), "and"), (("er ", "zzz"), "is to in it"), (("en ",), "der die und"))
 DANGEROUS = ("the of and", "is to in it")
 LEXICON = reasoning.Lexicon(POSITIVE, NEGATIVE, TOPICS, {"thth": "th"}, ("zzz",), SAFETY, DANGER, PAIRS, DANGEROUS)
 
@@ -54,6 +56,9 @@ _NEGATED = """list_filter([CASE WHEN contains(l, 'is safe') THEN replace(l, 'is
  CASE WHEN contains(l, 'can') THEN replace(l, 'can', 'cannot') END, CASE WHEN contains(l, 'will') THEN replace(l, 'will', 'will not') END, 'not ' || claim, 'undefined behavior ' || claim], lambda x: x IS NOT NULL)"""
 
 _FORM_HITS = _HITS.replace(_CLAIMS, f"SELECT claim_id * 100 + unnest(range(len(v))) AS claim_id, unnest(v) AS claim FROM (SELECT claim_id, {_NEGATED} AS v FROM (SELECT *, lower(claim) AS l FROM ({_CLAIMS})))", 1)
+_CANDIDATE_QUERIES = """SELECT fn * 100 + place AS claim_id, signature AS claim FROM rr WHERE place <= 3 AND signature <> '' UNION ALL SELECT fn * 100 + 4, content || ' C++ lambda template parameter reference capture' FROM ff UNION ALL SELECT fn * 100 + 5, 'the of and' FROM ff WHERE contains(lower(content), 'th')
+ UNION ALL SELECT fn * 100 + 7, 'is to in it' FROM ff WHERE contains(lower(content), 'er ') UNION ALL SELECT fn * 100 + 8, 'der die und' FROM ff WHERE contains(lower(content), 'en ')"""
+_CANDIDATE_HITS = _HITS.replace(_CLAIMS, _CANDIDATE_QUERIES, 1).replace(_RULES, f"SELECT * FROM ({_RULES}) WHERE layer = 'c11_core'", 1).replace("<= 10)", "<= 20)")
 _FOUND = """re AS (SELECT DISTINCT 'rule_' || item_id AS src, 'rule_' || unnest([(item_id * 7 + 1) % n, (item_id * 3 + 2) % n]) AS dst FROM benchmark, (SELECT count(*) AS n FROM benchmark)),
  p(start, node, path, depth) AS (SELECT id, id, [id], 0 FROM (SELECT DISTINCT id FROM cl WHERE step = 1 AND layer <> 'c11_core') UNION ALL SELECT p.start, re.dst, list_append(p.path, re.dst), p.depth + 1 FROM p JOIN re ON re.src = p.node WHERE p.depth < 10 AND NOT list_contains(p.path, re.dst)),
  lp AS (SELECT start, path FROM p JOIN r ON r.id = p.node WHERE r.layer = 'c11_core' AND depth > 0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth DESC, path) = 1),
@@ -342,6 +347,18 @@ def r2_distinct_results(spark, sf):
     return hits(spark, sf).select("claim", "id", "content", "layer", "distance").dropDuplicates()
 
 
+@query(f"""WITH rr AS (SELECT item_id % 7 AS fn, row_number() OVER (PARTITION BY item_id % 7 ORDER BY item_id) AS place, CASE WHEN item_id % 5 > 0 THEN left(text, 60) END AS signature, text AS content FROM benchmark),
+ ff AS (SELECT fn, string_agg(content, ' ' ORDER BY place) AS content FROM rr WHERE place <= 3 GROUP BY 1), {_CANDIDATE_HITS}, u AS (SELECT claim_id // 100 AS fn, claim_id % 100 AS ord, id, rank FROM hits WHERE rank <= CASE WHEN claim_id % 100 = 4 THEN 20 ELSE 10 END QUALIFY row_number() OVER (PARTITION BY claim_id // 100, id ORDER BY claim_id % 100, rank) = 1)
+ SELECT fn, id, row_number() OVER (PARTITION BY fn ORDER BY ord, rank) AS pos FROM u QUALIFY row_number() OVER (PARTITION BY fn ORDER BY ord, rank) <= 30""")
+def v6_all_strategies(spark, sf):
+    """V6: signatures, contents and concepts of every seventh item, among the trusted rules, at most 30 candidates."""
+    i = F.col("item_id")
+    place = F.row_number().over(Window.partitionBy(i % 7).orderBy(i))
+    f = table(spark, sf, "benchmark").select((i % 7).alias("fn"), place.alias("place"), F.when(i % 5 > 0, F.substring("text", 1, 60)).alias("signature"), F.col("text").alias("content"))
+    out = validation.candidate_foundations(validation.candidate_queries(f, concepts=CONCEPTS), rules(spark, sf).where("layer = 'c11_core'"))
+    return out.select("fn", "id", F.col("pos").cast("long").alias("pos"))
+
+
 @query(f"WITH {_HITS} SELECT claim_id, id, 1 / (1 + distance) >= 0.4 AS passes, round(1 / (1 + distance), 6) AS similarity FROM hits")
 def p8_threshold(spark, sf):
     return hits(spark, sf).select("claim_id", "id", X.passes(F.col("distance"), F.col("claim"), F.col("content")).alias("passes"), F.round(X.similarity(F.col("distance")), 6).alias("similarity"))

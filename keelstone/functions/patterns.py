@@ -45,6 +45,13 @@ SEARCH_EXPANSIONS = (
 SENSITIVE = ("overflow", "buffer", "pointer", "null", "bounds")
 NEGATIONS = (("is safe", "is unsafe"), ("is safe", "undefined behavior"), ("defined", "undefined"), ("valid", "invalid"), ("can", "cannot"), ("will", "will not"))
 
+# What the search for candidate foundations adds to a function's content, and the concepts it looks for.
+CANDIDATE_TERMS = "C++ lambda template parameter reference capture"
+CANDIDATE_CONCEPTS = (
+    (("lambda",), "lambda expression capture closure"), (("template", "parameter"), "template parameter instantiation"),
+    (("reference", "capture"), "reference capture lifetime"), (("range", "iterator", "loop"), "range-based for loop iterator"),
+)
+
 # Predicates and terms that link rules to error codes.
 PREDICATES = ("isPromoted", "isZero", "isUnknown", "==Type", "=/=Type", "isPointer", "isInteger", "hasIntegerType", "isFloat", "isComplete", "isConst")
 ERROR_TERMS = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keelstone.functions import patterns as P
 from keelstone.functions import text as X
 from keelstone.operators import graph, reasoning, store, vectors
 from keelstone.schemas import GROUNDED
@@ -107,6 +108,32 @@ def search_with_pairs(queries: DataFrame, rules: DataFrame, pairs: DataFrame, pa
     return vectors.expand_pairs(hits, both, participants.select(F.col("src").alias("at"), F.col("dst").alias("idiom")))
 
 
+def candidate_queries(functions: DataFrame, terms: str = P.CANDIDATE_TERMS, concepts=P.CANDIDATE_CONCEPTS) -> DataFrame:
+    """V6: the searches for each function (``fn, place, signature, content``, a row for each rule): ``fn, ord, k, text``.
+
+    The signatures of its first three rules, their contents with fixed terms, and the
+    concepts whose words occur in the contents.
+    """
+    three = functions.where("place <= 3")
+    signed = three.where("signature <> ''").select("fn", F.col("place").cast("int").alias("ord"), F.lit(10).alias("k"), F.col("signature").alias("text"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]), " ")
+    whole = three.groupBy("fn").agg(joined.alias("content"))
+    meant = whole.select("fn", F.lit(4).alias("ord"), F.lit(20).alias("k"), F.concat("content", F.lit(" " + terms)).alias("text"))
+    named = [F.when(X.has_any(F.lower("content"), keys), F.struct(F.lit(i).alias("ord"), F.lit(10).alias("k"), F.lit(text).alias("text"))) for i, (keys, text) in enumerate(concepts, 5)]
+    return signed.unionByName(meant).unionByName(whole.select("fn", F.inline(F.array_compact(F.array(*named)))))
+
+
+def candidate_foundations(queries: DataFrame, base: DataFrame, most: int = 30) -> DataFrame:
+    """The first ``most`` distinct rules of ``base`` that the ``queries`` of each function find, in their order: ``fn, id, pos``."""
+    asked = queries.withColumn("claim_id", F.concat_ws(":", F.col("fn").cast("string"), F.col("ord").cast("string")))
+    widest = queries.agg(F.max("k").alias("k")).first()["k"] or 1
+    hits = search_claims(asked.select("claim_id", F.col("text").alias("claim")), base, widest).select("claim_id", "rank", "id")
+    found = hits.join(asked.select("claim_id", "fn", "ord", "k"), "claim_id").where("rank <= k")
+    united = store.first_per_key(found, ["fn", "id"], ["ord", "rank"])
+    pos = Window.partitionBy("fn").orderBy("ord", "rank")
+    return united.withColumn("pos", F.row_number().over(pos)).where(F.col("pos") <= most).select("fn", "id", "pos")
+
+
 def load_collection(rules: DataFrame, codes: DataFrame, old_rules: DataFrame | None = None, mode: str = "upsert") -> dict[str, DataFrame]:
     """K2, K4, K8: the tables of a loaded collection: rules, codes, depends_on and violated_by edges, dangling ids.
 

@@ -91,3 +91,16 @@ def test_sections_are_whole_up_to_40000_characters(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["section"] for r in catalog.QUERIES["s10_full_sections"](spark, str(tmp_path)).collect()}
     assert got == {1: pages[0][1], 2: pages[1][1], 3: "z" * 40000 + "\n[truncated]", 4: None}
+
+
+def test_candidates_come_from_all_strategies(spark):
+    functions = spark.createDataFrame([("f", 1, "alpha", "a lambda"), ("f", 2, None, "a loop"), ("f", 3, "beta", "x"), ("f", 4, "gamma", "template"), ("g", 1, None, "y")], "fn string, place int, signature string, content string")
+    queries = validation.candidate_queries(functions)
+    got = sorted((r["fn"], r["ord"], r["k"], r["text"]) for r in queries.collect())
+    fixed = "C++ lambda template parameter reference capture"
+    assert got == [("f", 1, 10, "alpha"), ("f", 3, 10, "beta"), ("f", 4, 20, f"a lambda a loop x {fixed}"), ("f", 5, 10, "lambda expression capture closure"), ("f", 8, 10, "range-based for loop iterator"), ("g", 4, 20, f"y {fixed}")]
+    words = ["alpha"] * 12 + ["beta"] * 12 + ["lambda"] * 12 + ["closure"] * 12
+    base = spark.createDataFrame([(f"{i:02}", w, "M", "c11_core", 1.0) for i, w in enumerate(words)], "id string, content string, module string, layer string, confidence double")
+    found = {fn: [r["id"] for r in validation.candidate_foundations(queries, base).orderBy("pos").collect() if r["fn"] == fn] for fn in "fg"}
+    assert found["f"] == [f"{i:02}" for i in [*range(10), *range(12, 22), *range(24, 34)]]
+    assert len(found["g"]) == 20
