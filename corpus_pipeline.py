@@ -28,20 +28,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of five-word shingle sets with a similarity of 0.8.
 
-    The document with the smallest id stays.  Of rows that share that id, the one with
-    the smallest text, and one of equal rows, stays.  Documents without words all stay, as
-    do those whose id is null.
+    Rows of one id are one document: the row with the smallest text, and one of equal
+    rows, stands for it before copies are looked for, so no text goes as the copy of a row
+    that goes itself.  Of a component the document with the smallest id stays.
+    Documents without words all stay, as do those whose id is null.
     """
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.coalesce("text", F.lit("")).alias("t"))).alias("first")).where("n > 1")
+    if not several.isEmpty():
+        twice = docs.join(several, "doc_id").where(F.coalesce("text", F.lit("")) == F.col("first.t")).dropDuplicates(["doc_id"])
+        docs = materialise(docs.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(twice.select(docs.columns)), "one_row_an_id")
     found = ngram_jaccard(docs, k=5, num=4, den=5)
     # a document that is not its component's smallest goes
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # rows of one id: equal ids are one document
-    several = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.coalesce("text", F.lit("")).alias("t"))).alias("first")).where("n > 1")
-    if several.isEmpty():
-        return kept.select(docs.columns)
-    twice = kept.join(several, "doc_id").where(F.coalesce("text", F.lit("")) == F.col("first.t")).dropDuplicates(["doc_id"])
-    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(twice.select(docs.columns))
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
