@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from keelstone.llm.url_filter import url_host
 
 #: A subtree in this many different pages of a host is template.
 MIN_PAGES = 5
-#: Template subtrees that are broadcast (16 bytes each); beyond, they are joined to their pages.
+#: Template subtrees that are broadcast (8 bytes each, and 8 for each of their hosts); beyond, they are joined to their pages.
 BROADCAST_SUBTREES = 1_000_000
 
 # Names of elements, roles and class words.
@@ -50,7 +51,12 @@ _CLOSED_BY = {
 _IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 _STOPS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_DECLARATION = re.compile(r"<[!?]")
+_QUOTED = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*)({_QUOTED})>")
+_NAME, _VALUES = re.compile(r"</?[a-zA-Z][^\s/>]*"), re.compile(_QUOTED)
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _SEP = re.compile(r"[\s_-]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -83,59 +89,109 @@ def _boiler(name: str, attrs: str) -> bool:
     return False
 
 
+def _marks(source: str):
+    """Tags and declarations in order, as (start, end, match of a tag or None); the caller may send where to go on.
+
+    Takes linear time.  A tag ends at the first ``>`` outside quotes, or at the first one if
+    a quote is not closed; once that has happened, quotes are not heeded up to the place
+    where the search for their end gave up.  What has no end is text, but a
+    declaration or comment goes on to the end of the page.
+    """
+    at, n, last, blind = 0, len(source), source.rfind(">"), 0
+    while m := _START.search(source, at):
+        start, tag = m.start(), None
+        if start > last and not (m := _DECLARATION.search(source, start)):
+            return
+        if source[m.start() + 1] in "!?":
+            start = m.start()
+            shut = "-->" if source.startswith("<!--", start) else ">"
+            end = source.find(shut, start + len(shut) + 1)
+            end = end + len(shut) if end >= 0 else n
+        else:
+            if start >= blind:
+                tag = _TAG.match(source, start)
+                if tag is None:
+                    blind = _VALUES.match(source, _NAME.match(source, start).end()).end()
+            if tag is None:
+                tag = _PLAIN_TAG.match(source, start)
+            end = tag.end()
+        at = (yield start, end, tag) or end
+
+
+class _Open:
+    """The elements that are open; closing and looking one up take constant time for each element."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.name, []).append(at)
+        self.blocks.append(at if node.name in _BLOCK else self.blocks[-1])
+
+    def last(self, names) -> int:
+        """Where the innermost open element of these names stands, or 0."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def close(self, at: int) -> None:
+        """Closes the element there and all in it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().name].pop()
+            self.blocks.pop()
+
+    def end_head(self) -> None:
+        while self.stack[-1].name == "head":
+            self.close(len(self.stack) - 1)
+
+
 def parse_html(source: str) -> Node:
     """The element tree of a page; texts are strings among the children, references decoded."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(source)
-    for m in iter(lambda: _MARK.search(source, at), None):
-        if m.start() > at:
-            text = html.unescape(source[at : m.start()])
-            while stack[-1].name == "head" and text.strip():
-                stack.pop()
-            stack[-1].kids.append(text)
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+    tree, at, n = _Open(root), 0, len(source)
+    stack = tree.stack
+
+    def add(text: str) -> None:
+        text = html.unescape(text)
+        if stack[-1].name == "head" and not text.isspace():
+            tree.end_head()
+        stack[-1].kids.append(text)
+
+    marks, go_on = _marks(source), None
+    while True:
+        try:
+            start, end, tag = marks.send(go_on)
+        except StopIteration:
+            break
+        if start > at:
+            add(source[at:start])
+        at, go_on = end, None
+        if tag is None:
             continue
-        attrs = m[3] or m[6] or ""
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+        name, attrs = tag[2].lower(), tag[3]
+        if tag[1]:
+            if where := tree.places.get(name):
+                tree.close(where[-1])
             continue
-        while stack[-1].name == "head" and name not in _IN_HEAD:
-            stack.pop()
-        if name in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "p":
-                    del stack[i:]
-                    break
-                if stack[i].name in _BLOCK:
-                    break
-        if name in _CLOSED_BY:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in _STOPS[name]:
-                    break
-                if stack[i].name in _CLOSED_BY[name]:
-                    del stack[i:]
-                    break
+        if stack[-1].name == "head" and name not in _IN_HEAD:
+            tree.end_head()
+        if name in _CLOSES_P and stack[tree.blocks[-1]].name == "p":
+            tree.close(tree.blocks[-1])
+        if name in _CLOSED_BY and (i := tree.last(_CLOSED_BY[name])) > tree.last(_STOPS[name]):
+            tree.close(i)
         node = Node(name, _boiler(name, attrs))
         stack[-1].kids.append(node)
         if name in _VOID or attrs.endswith("/") and name not in _RAW:
             continue
         if name in _RAW:
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
-            node.kids.append(source[at : end.start() if end else n])
-            close = source.find(">", end.start()) if end else n
-            at = close + 1 if 0 <= close < n else n
+            stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
+            node.kids.append(source[at : stop.start() if stop else n])
+            close = source.find(">", stop.start()) if stop else n
+            at = go_on = close + 1 if 0 <= close < n else n
             continue
-        stack.append(node)
+        tree.push(node)
     if at < n:
-        root_text = html.unescape(source[at:])
-        while stack[-1].name == "head" and root_text.strip():
-            stack.pop()
-        stack[-1].kids.append(root_text)
+        add(source[at:])
     return root
 
 
@@ -148,18 +204,38 @@ def _walk(node: Node):
         todo.extend(k for k in reversed(x.kids) if isinstance(k, Node))
 
 
-def _holds(node: Node, names: tuple[str, ...]) -> bool:
-    return any(x.name in names for x in _walk(node))
+def _holders(root: Node, names: tuple[str, ...]) -> set[int]:
+    """Elements (by id) of these names, and those around them."""
+    out = set()
+    for x in reversed(list(_walk(root))):
+        if x.name in names or any(id(k) in out for k in x.kids if isinstance(k, Node)):
+            out.add(id(x))
+    return out
+
+
+def _headings(header: Node) -> list[Node]:
+    """The outermost headings of a header that are not in a part ruled out."""
+    found, todo = [], [header]
+    while todo:
+        x = todo.pop()
+        if x is not header and (x.boiler or x.gone):
+            continue
+        if x.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            found.append(x)
+        else:
+            todo.extend(k for k in reversed(x.kids) if isinstance(k, Node))
+    return found
 
 
 def main_regions(root: Node) -> tuple[list[Node], bool]:
     """The outermost articles, else the outermost main elements, else the whole page; and whether it is marked."""
+    marked = _holders(root, ("article", "main"))
     for wanted in ("article", "main"):
-        found, todo = [], [root]
+        found, todo = [], [root] if marked else []
         while todo:
             x = todo.pop()
             # a class word on an element around the article rules nothing out
-            wraps = x.boiler and x.name not in _DROP and x.name != "article" and _holds(x, ("article", "main"))
+            wraps = x.boiler and x.name not in _DROP and x.name != "article" and id(x) in marked
             if x.gone or x.boiler and not wraps:
                 continue
             if x.name == wanted:
@@ -217,9 +293,9 @@ def _candidates(root: Node) -> tuple[list[Node], int]:
     return found, xxhash.xxh64_intdigest("".join(str(r.hash) for r in regions)) - (1 << 63)
 
 
-def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
+def main_text(root: Node, template: frozenset | set = frozenset(), candidates: list[Node] | None = None) -> str:
     """The blocks of the main regions, without boilerplate and template subtrees, joined by two newlines."""
-    for x in _candidates(root)[0] if template else ():
+    for x in (_candidates(root)[0] if candidates is None else candidates) if template else ():
         x.gone = x.hash in template
     regions, _ = main_regions(root)
     blocks, line = [], []
@@ -241,7 +317,7 @@ def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
                 line.append(" ")
             elif x is region or not (x.boiler or x.gone):
                 if x.name == "header" and x is not region:  # of an article: only its headings are text
-                    todo.extend(k for k in reversed([y for y in _walk(x) if y.name in ("h1", "h2", "h3", "h4", "h5", "h6")]))
+                    todo.extend(reversed(_headings(x)))
                     continue
                 block = x.name in _BLOCK
                 if block:
@@ -268,19 +344,30 @@ def _subtrees(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (k1, k2, hashes, mains)]], names=["host", "k1", "k2", "subtree", "main"])
 
 
-def _extract(shared: dict[int, set] | None):
-    """Texts of pages; ``shared`` has the template subtrees by host hash, else each page brings its own."""
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted numbers are among sorted ones."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=bool)
+    return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+
+
+def _extract(shared: tuple[np.ndarray, np.ndarray] | None):
+    """Texts of pages; ``shared`` has hashes of hosts, and of hosts and template subtrees together, else each page brings its own."""
 
     def run(batches):
         for batch in batches:
             texts = []
-            for source, key, own in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+            known = _among(shared[0], batch.column(2).to_numpy()) if shared is not None else None
+            for i, (source, key, own) in enumerate(zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True)):
                 root = parse_html(source or "")
-                if shared is None:
-                    template = set(own or ())
+                if known is None:
+                    texts.append(main_text(root, set(own or ())))
+                elif not known[i]:
+                    texts.append(main_text(root))
                 else:
-                    template = shared.get(key, frozenset())
-                texts.append(main_text(root, template))
+                    found = _candidates(root)[0]
+                    hashes = np.array([x.hash for x in found], dtype=np.int64)
+                    texts.append(main_text(root, set(hashes[_among(shared[1], hashes ^ key)].tolist()), found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["page", "text"])
 
     return run
@@ -312,9 +399,9 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     schema = T.StructType([T.StructField("page", pages.select(page).schema[0].dataType), T.StructField("text", T.StringType())])
     n = recurring.count()
     if n <= broadcast_subtrees:
-        shared: dict[int, set] = {}
-        for r in recurring.select(F.xxhash64("host").alias("h"), "subtree").collect():  # bounded by broadcast_subtrees
-            shared.setdefault(r["h"], set()).add(r["subtree"])
+        host = F.xxhash64("host")
+        listed = recurring.select(host.alias("host"), host.bitwiseXOR(F.col("subtree")).alias("both")).toArrow()  # 16 bytes for each of broadcast_subtrees
+        shared = np.unique(listed["host"].to_numpy()), np.unique(listed["both"].to_numpy())
         rows = pages.select(page, source.alias("html"), F.xxhash64(url_host(F.col(url_col))).alias("key"), F.lit(None).cast("array<long>").alias("own"))
         texts = rows.mapInArrow(_extract(shared), schema)
     else:
