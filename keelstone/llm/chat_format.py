@@ -58,28 +58,47 @@ def _render(turns: Column, always: bool) -> Column:
     return F.array_join(F.transform(turns, one), "\n")
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _blocks(formatted: Column) -> Column:
+    """What stands before each closing mark, and after the last."""
+    return F.split(formatted, r"\Q" + CLOSE + r"\E", -1)
+
+
+def running_sums(values: Column) -> Column:
+    """The sum of an array up to each place, by doubling: ``log2(n)`` steps over the whole array."""
+    shifts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda j: F.pow(F.lit(2), j).cast("int")), lambda s: s < F.size(values))
+    return F.aggregate(shifts, values, lambda p, s: F.transform(p, lambda x, i: x + F.when(i >= s, F.get(p, i - s)).otherwise(F.lit(0).cast("long"))))
+
+
 def parse(formatted: Column) -> Column:
     """Turns as an array of (role, text, start, length); the last two are the raw text's place in code points.
 
     Null where the text does not follow the grammar.
     """
-    blocks = F.split(formatted, r"\Q" + CLOSE + r"\E", -1)
-    # all but the last, without the newline that joins it to the one before
-    heads = F.transform(F.slice(blocks, 1, F.size(blocks) - 1), lambda b, i: F.struct(F.when(i == 0, b).when(F.startswith(b, F.lit("\n")), F.substring(b, 2, 2147483647)).alias("b"), F.length(b).alias("n"), (i > 0).alias("joined")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<role:string,text:string,start:bigint,length:bigint>>").alias("turns"))
 
-    def step(acc: Column, h: Column) -> Column:
-        head = F.substring_index(h["b"], ">", 1)
-        raw = F.length(h["b"]) - F.length(head) - 1
-        text = F.substring(h["b"], F.length(head) + 2, 2147483647)
-        start = acc["at"] + F.when(h["joined"], 1).otherwise(0) + F.length(head) + 1
-        good = F.startswith(h["b"], F.lit(OPEN)) & (raw >= 0) & ~F.contains(text, F.lit(OPEN))
-        turn = F.when(good, F.struct(unescape(F.substring(head, len(OPEN) + 1, 2147483647)).alias("role"), unescape(text).alias("text"), start.alias("start"), raw.cast("long").alias("length")))
-        return F.struct((acc["at"] + h["n"] + len(CLOSE)).alias("at"), F.concat(acc["turns"], F.array(turn)).alias("turns"))
+    def read(block: Column, i: Column) -> Column:
+        """One turn, with its block's length; null if it does not follow the grammar."""
+        joined = i > 0  # all but the first begin with the newline that joins them to the one before
+        body = F.when(~joined, block).when(F.startswith(block, F.lit("\n")), F.substring(block, 2, 2147483647))
+        head = F.substring_index(body, ">", 1)
+        raw = F.length(body) - F.length(head) - 1
+        text = F.substring(body, F.length(head) + 2, 2147483647)
+        good = F.startswith(body, F.lit(OPEN)) & (raw >= 0) & ~F.contains(text, F.lit(OPEN))
+        role = unescape(F.substring(head, len(OPEN) + 1, 2147483647))
+        return F.when(good, F.struct(role.alias("role"), unescape(text).alias("text"), raw.cast("long").alias("length")))
 
-    turns = F.aggregate(heads, zero, step)["turns"]
-    whole = (F.element_at(blocks, -1) == "") & ~F.exists(turns, lambda t: t.isNull())
-    return F.when(whole, turns)
+    def place(blocks: Column, turns: Column) -> Column:
+        """A raw text ends where its block does."""
+        ends = running_sums(F.transform(F.slice(blocks, 1, F.size(blocks) - 1), lambda b: F.length(b).cast("long") + len(CLOSE)))
+        placed = F.zip_with(turns, ends, lambda t, e: F.struct(t["role"].alias("role"), t["text"].alias("text"), (e - len(CLOSE) - t["length"]).alias("start"), t["length"].alias("length")))
+        whole = (F.element_at(blocks, -1) == "") & ~F.exists(turns, lambda t: t.isNull())
+        return F.when(whole, placed)
+
+    return _let(_blocks(formatted), lambda blocks: _let(F.transform(F.slice(blocks, 1, F.size(blocks) - 1), read), lambda turns: place(blocks, turns)))
 
 
 def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -88,7 +107,8 @@ def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] =
     Rows are ordered by ``turn`` (nulls first), then role and text; equal rows are all
     kept.  A null role or text is empty.  Rows with a null ``conv_id`` form one
     conversation.  ``turns`` are read back from ``formatted``; ``loss_spans`` are
-    (start, length) in code points of the texts of ``loss_roles`` there, still escaped.
+    (start, length, turn) of the texts of ``loss_roles`` there, still escaped: the place in
+    code points and the number of the turn, from 0.
     Fails if a conversation cannot be read back.  Other columns are ignored; an empty
     table gives an empty result.  A conversation is one string, so it has to fit in
     a task.
@@ -105,10 +125,21 @@ def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] =
     convs = convs.withColumn("parsed", F.when(F.col("same"), F.col("parsed")).otherwise(parse(F.col("formatted"))))
     ok = F.coalesce(read(F.col("parsed")) == F.col("source"), F.lit(False))
     turns = F.when(ok, F.col("parsed")).otherwise(F.raise_error(F.concat(F.lit("conversation cannot be read back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
-    spans = F.transform(F.filter("turns", lambda t: t["role"].isin(*loss_roles)), lambda t: F.struct(t["start"], t["length"]))
+    numbered = F.transform("turns", lambda t, i: F.when(t["role"].isin(*loss_roles), F.struct(t["start"].alias("start"), t["length"].alias("length"), i.alias("turn"))))
+    spans = F.filter(numbered, lambda s: s.isNotNull())
     return convs.select("conv_id", "formatted", turns.alias("turns")).select("conv_id", read(F.col("turns")).alias("turns"), "formatted", spans.alias("loss_spans"))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, with nothing between.
+
+    A span ends where its turn's block does, so it is read there; counting code points from
+    the text's beginning for every span would take quadratic time.
+    """
+
+    def read(blocks: Column) -> Column:
+        own = lambda s: F.get(blocks, s["turn"])
+        texts = F.transform(spans, lambda s: unescape(F.substring(own(s), F.length(own(s)) - s["length"].cast("int") + 1, s["length"].cast("int"))))
+        return F.array_join(texts, "")
+
+    return _let(_blocks(formatted), read)
