@@ -63,12 +63,12 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    """An element: boilerplate by its own mark-up, or gone as part of its site's template."""
+    """An element: boilerplate by its own mark-up, or gone as part of its site's template; ``holds`` an article or main element."""
 
-    __slots__ = ("name", "kids", "boiler", "gone", "hash")
+    __slots__ = ("name", "kids", "boiler", "gone", "hash", "holds")
 
     def __init__(self, name: str, boiler: bool = False):
-        self.name, self.kids, self.boiler, self.gone, self.hash = name, [], boiler, False, 0
+        self.name, self.kids, self.boiler, self.gone, self.hash, self.holds = name, [], boiler, False, 0, False
 
 
 def _boiler(name: str, attrs: str) -> bool:
@@ -181,6 +181,12 @@ def parse_html(source: str) -> Node:
             tree.close(i)
         node = Node(name, _boiler(name, attrs))
         stack[-1].kids.append(node)
+        if name == "article" or name == "main":
+            node.holds = True
+            for x in reversed(stack):  # an element that holds one is in others that do
+                if x.holds:
+                    break
+                x.holds = True
         if name in _VOID or attrs.endswith("/") and name not in _RAW:
             continue
         if name in _RAW:
@@ -204,15 +210,6 @@ def _walk(node: Node):
         todo.extend(k for k in reversed(x.kids) if isinstance(k, Node))
 
 
-def _holders(root: Node, names: tuple[str, ...]) -> set[int]:
-    """Elements (by id) of these names, and those around them."""
-    out = set()
-    for x in reversed(list(_walk(root))):
-        if x.name in names or any(id(k) in out for k in x.kids if isinstance(k, Node)):
-            out.add(id(x))
-    return out
-
-
 def _headings(header: Node) -> list[Node]:
     """The outermost headings of a header that are not in a part ruled out."""
     found, todo = [], [header]
@@ -229,13 +226,12 @@ def _headings(header: Node) -> list[Node]:
 
 def main_regions(root: Node) -> tuple[list[Node], bool]:
     """The outermost articles, else the outermost main elements, else the whole page; and whether it is marked."""
-    marked = _holders(root, ("article", "main"))
     for wanted in ("article", "main"):
-        found, todo = [], [root] if marked else []
+        found, todo = [], [root]
         while todo:
             x = todo.pop()
             # a class word on an element around the article rules nothing out
-            wraps = x.boiler and x.name not in _DROP and x.name != "article" and id(x) in marked
+            wraps = x.holds and x.boiler and x.name not in _DROP and x.name != "article"
             if x.gone or x.boiler and not wraps:
                 continue
             if x.name == wanted:
