@@ -21,25 +21,37 @@ distinct texts:
 Since the result is the components, pairs that are already in one component are
 never expanded: each posting list is compared with a few of its groups (hubs), the
 links found are closed, and the lists that still hold several components go on
-with more hubs, at last with all, until every pair of a list has been compared or is
-connected.  A clique of near copies takes a linear number of comparisons,
-while no link between different components can be missed.
+with more hubs.  A clique of near copies takes a linear number of comparisons.
+
+A list that is longer than that, of documents that share a frequent shingle but mostly do
+not link, is not compared all with all: its documents' shingles are dealt by hash into more
+parts than sets that link can differ in, so these are equal in one part at least, and only
+documents with an equal part, of several shingles as a rule, are compared.  No link between
+different components can be missed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keelstone.llm._common import discard, materialise, parts_for, release, text_bytes, text_key
+from keelstone.llm._common import buckets_for, discard, materialise, parts_for, release, spread_join, text_bytes, text_key
 from keelstone.llm._words import Buckets, chunks, ngrams, word_hashes
 from keelstone.llm.components import connected
 
-#: Groups of a posting list that a round compares with all others; the last round compares all that are still apart.
+#: Groups of a posting list that a round compares with all others; the last round joins the documents of longer lists by parts.
 HUBS = (2, 64, None)
+#: Members of two groups that are compared all with all if their representatives do not link; larger groups wait for the last round.
+SPLIT = 64
+#: Documents with an equal part that a task compares with all others that have it.
+BLOCK = 1024
+#: Hashes of a bucket that are sorted at a time.
+BUCKET_KEYS = 4_000_000
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -103,19 +115,31 @@ def _send(buckets: Buckets, k: int):
     return run
 
 
+def ranges(arrays: list[np.ndarray], size: int):
+    """Slices of sorted arrays, by ranges of their values, of about ``size`` values together if they are spread evenly."""
+    n = max(1, -(-sum(map(len, arrays)) // size))
+    low, high = min((int(a[0]) for a in arrays if len(a)), default=0), max((int(a[-1]) for a in arrays if len(a)), default=0)
+    edges = np.array([low + (high - low + 1) * i // n for i in range(n)], dtype=np.uint64)
+    cuts = [np.append(np.searchsorted(a, edges), len(a)) for a in arrays]
+    for i in range(n):
+        yield [slice(c[i], c[i + 1]) for c in cuts]
+
+
 def _count(table: pa.Table) -> pa.Table:
     """Of a bucket: the frequency, as a rank of 255 steps, of shingles in two documents or more."""
     grams = [np.frombuffer(x, np.uint32) for x in table["grams"].to_pylist()]
     counts = [np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]
-    keys, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(keys))
-    rank = np.where(total >= 2, np.clip(np.round(np.log2(np.maximum(total, 2)) * 8), 1, 255), 0).astype(np.uint8)
-    out, at = [], 0
-    for g, part in zip(grams, table["part"].to_pylist(), strict=True):
-        r = rank[inverse[at : at + len(g)]]
-        at += len(g)
-        if r.any():
-            out.append((table["bucket"][0].as_py(), part, g[r > 0].tobytes(), r[r > 0].tobytes()))
+    ranks = [np.zeros(len(g), np.uint8) for g in grams]
+    for cut in ranges(grams, BUCKET_KEYS):
+        keys, inverse = np.unique(np.concatenate([g[s] for g, s in zip(grams, cut, strict=True)]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([c[s] for c, s in zip(counts, cut, strict=True)]), minlength=len(keys))
+        rank = np.where(total >= 2, np.clip(np.round(np.log2(np.maximum(total, 2)) * 8), 1, 255), 0).astype(np.uint8)
+        at = 0
+        for r, s in zip(ranks, cut, strict=True):
+            r[s] = rank[inverse[at : at + s.stop - s.start]]
+            at += s.stop - s.start
+    rows = zip(grams, ranks, table["part"].to_pylist(), strict=True)
+    out = [(table["bucket"][0].as_py(), part, g[r > 0].tobytes(), r[r > 0].tobytes()) for g, r, part in rows if r.any()]
     return pa.Table.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True) if out else ([],) * 4, _SENT, strict=True)], schema=_SENT)
 
 
@@ -160,7 +184,7 @@ def shingle_classes(docs: DataFrame, text: str, k: int, num: int, den: int) -> D
     """One row per distinct text: its set's size, and its prefix where it may have a link."""
     total = text_bytes(docs, text)
     parts = parts_for(total)
-    buckets = Buckets(parts)
+    buckets = Buckets(buckets_for(total))
     texts = dealt_texts(docs, text, parts)
     sent = texts.groupBy("part").applyInArrow(_send(buckets, k), "bucket int, part int, grams binary, counts binary")
     counted = sent.groupBy("bucket").applyInArrow(_count, "bucket int, part int, grams binary, counts binary")
@@ -168,88 +192,162 @@ def shingle_classes(docs: DataFrame, text: str, k: int, num: int, den: int) -> D
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs of node keys x and y, those whose sets link."""
+    """Of pairs of node keys x and y (a written table), those whose sets link."""
+    total = pairs.count()
     left = sets.select(F.col("node").alias("x"), F.col("n").alias("xn"), F.col("shared").alias("xs"))
     right = sets.select(F.col("node").alias("y"), F.col("n").alias("yn"), F.col("shared").alias("ys"))
-    met = pairs.join(left, "x").join(right, "y")
+    # sizes first, so that a text meets only sets that it can link with
+    met = spread_join(pairs.select("x", "y"), left, ["x"], ["y"], total)
+    met = spread_join(met, right, ["y"], ["x"], total, counts=pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n")))
     both = F.size(F.array_intersect("xs", "ys"))
     return met.where(F.lit(den) * both >= F.lit(num) * (F.col("xn") + F.col("yn") - both)).select("x", "y")
 
 
-def _postings(subs: DataFrame) -> DataFrame:
-    """Places of prefix shingles in subgroups, for shingles that still hold several components.
+def _live(posts: DataFrame, *more: Column) -> DataFrame:
+    """Tokens whose posts (``token, cid``) hold several components, and how many posts they have."""
+    stats = posts.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("size"), *more)
+    return stats.where("low <> high").drop("low", "high")
 
-    ``sid`` and ``cid`` stand for a subgroup and its component; ``rank`` orders the
-    subgroups of a shingle, those with the fewest shingles of their own first, as the
-    least altered copy of a text has the most links.
+
+def _possible(num: int, den: int) -> Column:
+    """Whether two posts (one with ``h_`` in front) can link, by size and position.
+
+    If this is the first shingle that they share, all others come after it in both; a pair
+    that links passes there.
     """
-    posts = subs.select("sid", "cid", "n", "own", F.posexplode_outer("prefix").alias("i", "token"))
-    whole = Window.partitionBy("token")
-    posts = posts.select(
-        "token", "sid", "cid", "n", (F.col("own") + F.col("i")).alias("pos"), F.row_number().over(whole.orderBy("own", "sid")).alias("rank"),
-        F.min("cid").over(whole).alias("low"), F.max("cid").over(whole).alias("high"), F.count(F.lit(1)).over(whole).alias("size"),
-    )
-    return posts.where("low <> high").drop("low", "high")
-
-
-def _candidates(posts: DataFrame, hubs: int | None, num: int, den: int) -> DataFrame:
-    """Pairs of subgroups of different components that share a prefix shingle, one of them a hub, within the bounds."""
-    hub = posts if hubs is None else posts.where(F.col("rank") <= hubs)
-    hub = hub.select("token", *[F.col(c).alias(f"h_{c}") for c in ("sid", "cid", "n", "pos", "rank")])
-    met = hub.join(posts, "token").where((F.col("h_rank") < F.col("rank")) & (F.col("h_cid") != F.col("cid")))
     size = den * F.least("n", "h_n") >= num * F.greatest("n", "h_n")
-    # If this is the first shingle that they share, all others come after it in both; a pair that links passes there.
-    most = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("h_n") - F.col("h_pos") - 1)
-    bound = (den + num) * most >= num * (F.col("n") + F.col("h_n"))
-    return met.where(size & bound).select(F.least("sid", "h_sid").alias("sid1"), F.greatest("sid", "h_sid").alias("sid2")).distinct()
+    most = F.least(F.col("n") - F.col("pos"), F.col("h_n") - F.col("h_pos"))
+    return size & ((den + num) * most >= num * (F.col("n") + F.col("h_n")))
+
+
+def _candidates(posts: DataFrame, live: DataFrame, hubs: int, num: int, den: int) -> DataFrame:
+    """Pairs of subgroups of different components that share a live prefix shingle, one of them a hub, within the bounds.
+
+    Hubs are the subgroups of a shingle with the fewest shingles of their own, as the least
+    altered copy of a text has the most links.  Only they are ranked, so no task sorts a whole list.
+    """
+    rank = Window.partitionBy("token").orderBy("own", "sid")
+    hub = posts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs).join(live.select("token"), "token")
+    hub = hub.select("token", *[F.col(c).alias(f"h_{c}") for c in ("sid", "cid", "n", "pos")])
+    met = spread_join(posts, hub, ["token"], ["sid"], posts.count()).where(F.col("h_cid") != F.col("cid"))
+    return met.where(_possible(num, den)).select(F.least("sid", "h_sid").alias("sid1"), F.greatest("sid", "h_sid").alias("sid2")).distinct()
+
+
+def part_keys(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Keys of parts of shared shingles such that any two nodes that link have one in common: ``key, node``.
+
+    Sets that link differ in at most ``d = (den - num) / (den + num) * (n + n')`` shingles.
+    Dealt by hash into more than ``d`` parts, they are equal in one.  Sizes are taken in
+    steps of ``den / num``; a link joins nodes of one step or of neighbours, so each node is
+    dealt for its own step and the next, with as many parts as the step's largest sets ask
+    for.  A key is a part's hash.  Empty parts have none, unless a node has so few others that
+    its links may be equal in empty parts alone.
+    """
+    # a little more than den / num, so that rounding parts no link from its step
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num * 1.0001))).cast("int")
+    top = F.pow(F.lit(den / num * 1.0001), F.col("step") + 1)
+    most = F.ceil(F.lit((den - num) / (den + num)) * 2 * top).cast("long")
+    rows = nodes.select("node", "own", "shared", F.explode(F.array(step, step + 1)).alias("step"))
+    rows = rows.select("node", "own", "step", most.alias("d"), (most + F.floor(most / 2) + 1).alias("parts"), F.explode("shared").alias("token"))
+    mixed = F.xxhash64(F.lit("part"), "token")
+    rows = rows.groupBy("node", "own", "step", "d", "parts", F.pmod(mixed, F.col("parts")).alias("part")).agg(F.bit_xor(F.xxhash64(F.lit("set"), "token")).alias("hash"))
+    full = rows.groupBy("node", "own", "step", "d", "parts").agg(F.collect_set("part").alias("there"))
+    few = full.where(F.size("there") <= F.col("d") - F.col("own")).select("node", "step", F.explode(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), "there")).alias("part"))
+    keys = rows.select("node", "step", "part", "hash").unionByName(few.withColumn("hash", F.lit(0).cast("long")))
+    return keys.select(F.xxhash64("step", "part", "hash").alias("key"), "node")
+
+
+def _last_pairs(nodes: DataFrame, comps: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``x, y`` of nodes of different components that hold any of ``tokens`` in their prefix and have a part in common."""
+    posts = nodes.select("node", F.explode("prefix").alias("token"))
+    total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("s")).first()["s"]
+    some = spread_join(posts, tokens, ["token"], ["node"], total).select("node").distinct()
+    keys = part_keys(nodes.join(some, "node"), num, den)
+    about = nodes.select("node", "n", (F.col("n") - F.col("own")).alias("common")).join(comps.select("node", F.xxhash64("comp").alias("cid")), "node")
+    lists = materialise(keys.withColumnRenamed("key", "token").join(about, "node"), "lists")
+    live = materialise(_live(lists), "live")
+    # a list may be long all the same: blocks of it meet the whole of it
+    lists_live = spread_join(lists, live, ["token"], ["node"], lists.count())
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    one = lists_live.select("token", *[F.col(c).alias(f"h_{c}") for c in ("node", "cid", "n", "common")], F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    two = lists_live.select("token", "node", "cid", "n", "common", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    larger = (F.col("h_n") < F.col("n")) | ((F.col("h_n") == F.col("n")) & (F.col("h_node") < F.col("node")))
+    fits = (den * F.col("h_n") >= num * F.col("n")) & (F.lit(den + num) * F.least("common", "h_common") >= num * (F.col("n") + F.col("h_n")))
+    met = one.join(two, ["token", "block"]).where((F.col("h_cid") != F.col("cid")) & larger & fits)
+    out = materialise(met.select(F.col("h_node").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
+    discard(lists, live)
+    return out
 
 
 def _closed(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """New components of all nodes, after links between nodes."""
-    at = links.join(comps.select(F.col("node").alias("x"), F.col("comp").alias("a")), "x").join(comps.select(F.col("node").alias("y"), F.col("comp").alias("b")), "y")
-    roots = connected(at.select("a", "b"))
-    return comps.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    """New components of all nodes, after links between nodes (a written table)."""
+    total = links.count()
+    at = spread_join(links, comps.select(F.col("node").alias("x"), F.col("comp").alias("a")), ["x"], ["y"], total)
+    at = spread_join(at, comps.select(F.col("node").alias("y"), F.col("comp").alias("b")), ["y"], ["x"], total, counts=links.groupBy("y").agg(F.count(F.lit(1)).alias("n")))
+    roots = materialise(connected(at.select("a", "b")).select(F.col("node").alias("comp"), "root"), "roots")
+    out = spread_join(comps, roots, ["comp"], ["node"], comps.count(), "left")
+    return out.select("node", F.coalesce("root", "comp").alias("comp"))
 
 
 def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
     """The component (smallest node key) of every text class that may have links: ``node``, ``comp``."""
     node = F.struct("k1", "k2").alias("node")
-    nodes = materialise(classes.where("prefix is not null").select(node, "n", "own", "prefix", "shared", F.xxhash64("n", "own", "prefix").alias("g1"), F.xxhash64(F.lit("second"), "n", "own", "prefix").alias("g2")), "nodes")
-    grouped = nodes.select("node", F.struct("g1", "g2").alias("grp"))
-    reps = grouped.groupBy("grp").agg(F.min("node").alias("rep"))
+    grp = F.struct(F.xxhash64("n", "own", "prefix").alias("g1"), F.xxhash64(F.lit("second"), "n", "own", "prefix").alias("g2")).alias("grp")
+    nodes = materialise(classes.where("prefix is not null").select(node, grp, "n", "own", "prefix", "shared"), "nodes")
+    used = [nodes]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(materialise(df, name))
+        return used[-1]
+
+    def close(comps: DataFrame, pairs: DataFrame) -> DataFrame:
+        links = kept(_verified(pairs, nodes, num, den), "links")
+        if links.isEmpty():
+            return comps
+        used.append(comps)
+        return materialise(_closed(comps, links), "comps")
+
+    grouped = nodes.select("node", "grp")
     # members against their group's representative
-    star = grouped.join(reps, "grp").where("node <> rep").select(F.col("rep").alias("x"), F.col("node").alias("y"))
-    comps = nodes.select("node", F.col("node").alias("comp"))
-    comps = materialise(_closed(comps, materialise(_verified(star, nodes, num, den), "links")), "comps")
-    tested, used = None, [nodes]
+    reps = grouped.groupBy("grp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n"))
+    star = spread_join(grouped, reps.select("grp", "rep"), ["grp"], ["node"], nodes.count(), counts=reps.select("grp", "n"))
+    star = kept(star.where("node <> rep").select(F.col("rep").alias("x"), F.col("node").alias("y")), "star")
+    comps = close(materialise(nodes.select("node", F.col("node").alias("comp")), "comps"), star)
+    tested = left = None
     for hubs in HUBS:
-        subs = nodes.select("node", "n", "own", "prefix", F.struct("g1", "g2").alias("grp")).join(comps, "node").withColumn("sid", F.xxhash64("grp", "comp"))
-        member = subs.select("sid", "node")
-        subs = materialise(subs.groupBy("sid", "comp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix")), "subs")
-        posts = materialise(_postings(subs.select("sid", F.xxhash64("comp").alias("cid"), "n", "own", "prefix")), "posts")
-        longest = posts.agg(F.max("size").alias("s")).first()["s"]
-        used += [subs, posts]
+        subs = nodes.select("node", "grp", "n", "own", "prefix").join(comps, "node").withColumn("sid", F.xxhash64("grp", "comp"))
+        member = kept(subs.select("sid", "node"), "members")
+        subs = kept(subs.groupBy("sid", "comp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix")), "subs")
+        posts = subs.select("sid", F.xxhash64("comp").alias("cid"), "m", "n", "own", F.posexplode("prefix").alias("i", "token"))
+        posts = kept(posts.select("token", "sid", "cid", "m", "n", "own", (F.col("own") + F.col("i")).alias("pos")), "posts")
+        live = kept(_live(posts, F.max("m").alias("m")), "live")
+        if hubs is None:
+            # lists that no round has compared whole
+            rest = live.select("token") if left is None else live.select("token").join(left.select("token"), "token", "left_semi")
+            if not rest.isEmpty():
+                comps = close(comps, kept(_last_pairs(nodes, comps, rest, num, den), "last"))
+            break
+        longest = live.agg(F.max("size").alias("s")).first()["s"]
         if longest is None:
             break
-        met = _candidates(posts, hubs, num, den)
+        if left is not None:  # what earlier rounds have compared whole
+            live = kept(live.join(left.select("token"), "token", "left_semi"), "live")
+        met = _candidates(posts, live, hubs, num, den)
         one, two = (subs.select(F.col("sid").alias(f"sid{i}"), F.col("rep").alias(f"rep{i}"), F.col("m").alias(f"m{i}")) for i in (1, 2))
         pairs = met.join(one, "sid1").join(two, "sid2")
         if tested is not None:  # larger groups may have gained members since
             pairs = pairs.join(tested.withColumn("old", F.lit(True)), ["rep1", "rep2"], "left").where("old is null or m1 > 1 or m2 > 1").drop("old")
-        pairs = materialise(pairs, "pairs")
-        used.append(pairs)
-        found = _verified(pairs.select(F.col("rep1").alias("x"), F.col("rep2").alias("y")), nodes, num, den)
-        comps = materialise(_closed(comps, materialise(found, "links")), "comps")
-        # groups whose representatives do not link are expanded to all members
-        wide = pairs.where("m1 > 1 or m2 > 1")
+        pairs = kept(pairs, "pairs")
+        comps = close(comps, pairs.select(F.col("rep1").alias("x"), F.col("rep2").alias("y")))
+        # small groups whose representatives do not link are expanded to all members; larger ones wait for the last round
+        wide = pairs.where(F.greatest("m1", "m2").between(2, SPLIT))
         if not wide.isEmpty():
             root = comps.select(F.col("node").alias("rep1"), F.col("comp").alias("c1"))
             apart = wide.join(root, "rep1").join(root.select(F.col("rep1").alias("rep2"), F.col("c1").alias("c2")), "rep2").where("c1 <> c2")
-            first = apart.select(F.col("sid1").alias("sid"), "sid2").join(member, "sid").select(F.col("sid2").alias("sid"), F.col("node").alias("x"))
-            both = first.join(member, "sid").select("x", F.col("node").alias("y")).distinct()
-            comps = materialise(_closed(comps, materialise(_verified(both, nodes, num, den), "links")), "comps")
-        if hubs is None or longest <= hubs + 1:
-            break
+            both = apart.select(F.col("sid1").alias("sid"), "sid2").join(member, "sid").select(F.col("sid2").alias("sid"), F.col("node").alias("x"))
+            both = kept(both.join(member, "sid").select("x", F.col("node").alias("y")).distinct(), "members")
+            comps = close(comps, both)
+        left = live.where((F.col("size") > hubs + 1) | (F.col("m") > SPLIT))
         done = pairs.where("m1 = 1 and m2 = 1").select(F.least("rep1", "rep2").alias("rep1"), F.greatest("rep1", "rep2").alias("rep2"))
         done = done.unionByName(done.select(F.col("rep2").alias("rep1"), F.col("rep1").alias("rep2")))
         tested = done if tested is None else tested.unionByName(done).distinct()
@@ -271,14 +369,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialise(shingle_classes(docs, text_col, k, num, den), "classes")
     comps = class_components(classes, num, den)
     sized = classes.select(F.struct("k1", "k2").alias("node"), "n").join(comps, "node", "left").select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "n", F.coalesce("comp", "node").alias("comp"))
-    sized = materialise(sized, "sized")
-    discard(classes)
-    rows = docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col)))
-    lowest = rows.groupBy("k1", "k2").agg(F.min("id").alias("low"))
-    labelled = sized.join(lowest, ["k1", "k2"])
-    least = labelled.groupBy("comp").agg(F.min("low").alias("least"))
-    labelled = labelled.join(least, "comp").select("k1", "k2", "n", "least")
-    out = rows.join(labelled, ["k1", "k2"])
+    rows = materialise(docs.select(F.col(id_col).alias("id"), *text_key(F.col(text_col))), "rows")
+    copies = rows.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    labelled = materialise(sized.join(copies, ["k1", "k2"]), "labelled")
+    discard(classes, comps)
+    least = labelled.groupBy("comp").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n"))
+    best = spread_join(labelled, least.select("comp", "least"), ["comp"], ["k1", "k2"], labelled.count(), counts=least.select("comp", "n"))
+    out = spread_join(rows, best.select("k1", "k2", "n", "least"), ["k1", "k2"], ["id"], rows.count(), counts=labelled.select("k1", "k2", F.col("rows").alias("n")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
-
-

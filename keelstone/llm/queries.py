@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstone.llm import oracles
-from keelstone.llm._common import text_key
+from keelstone.llm._common import n_rows, spread_join, text_copies, text_key
 from keelstone.llm.ann import ann_search
 from keelstone.llm.chat_format import format_conversations, loss_text
 from keelstone.llm.decontamination import decontaminate
@@ -88,9 +88,11 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    classes = repeat_classes(docs, width=35).select("k1", "k2", "n_words", "n_removed", "kept_sha256")
+    copies = text_copies(docs, "text")
+    classes = repeat_classes(docs, width=35, copies=copies).select("k1", "k2", "n_words", "n_removed", "kept_sha256")
     rows = docs.select("doc_id", *text_key(F.col("text")))
-    return rows.join(classes, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    out = spread_join(rows, classes, ["k1", "k2"], ["doc_id"], n_rows(copies), counts=copies)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

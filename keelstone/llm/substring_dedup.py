@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelstone.llm._common import free_name, parts_for, release, text_bytes, text_key
+from keelstone.llm._common import buckets_for, free_name, hashable, n_rows, parts_for, release, spread_join, text_bytes, text_copies, text_key
 from keelstone.llm._words import Buckets, _spans, chunks, ngrams, word_hashes
-from keelstone.llm.ngram_jaccard import dealt_texts
+from keelstone.llm.ngram_jaccard import BUCKET_KEYS, dealt_texts, ranges
 
 _BLOCK, _TWICE = 1, 2
 
@@ -102,17 +102,18 @@ def _repeated(wanted: int, dtype):
 
     def run(table: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, dtype) for x in table["hashes"].to_pylist()]
-        marks = np.concatenate([np.frombuffer(x, np.uint8) for x in table["marks"].to_pylist()])
-        keys, inverse, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        any_mark = np.zeros(len(keys), np.uint8)
-        np.bitwise_or.at(any_mark, inverse, marks)
-        good = ((n > 1) | (any_mark & _TWICE > 0)) & (any_mark & wanted == wanted)
-        rows, at = [], 0
-        for h, part in zip(hashes, table["part"].to_pylist(), strict=True):
-            keep = good[inverse[at : at + len(h)]]
-            at += len(h)
-            if keep.any():
-                rows.append((table["bucket"][0].as_py(), part, h[keep].tobytes(), b""))
+        marks = [np.frombuffer(x, np.uint8) for x in table["marks"].to_pylist()]
+        keep = [np.zeros(len(h), dtype=bool) for h in hashes]
+        for cut in ranges(hashes, BUCKET_KEYS):
+            keys, inverse, n = np.unique(np.concatenate([h[s] for h, s in zip(hashes, cut, strict=True)]), return_inverse=True, return_counts=True)
+            any_mark = np.zeros(len(keys), np.uint8)
+            np.bitwise_or.at(any_mark, inverse, np.concatenate([m[s] for m, s in zip(marks, cut, strict=True)]))
+            good = ((n > 1) | (any_mark & _TWICE > 0)) & (any_mark & wanted == wanted)
+            at = 0
+            for x, s in zip(keep, cut, strict=True):
+                x[s] = good[inverse[at : at + s.stop - s.start]]
+                at += s.stop - s.start
+        rows = [(table["bucket"][0].as_py(), part, h[x].tobytes(), b"") for h, x, part in zip(hashes, keep, table["part"].to_pylist(), strict=True) if x.any()]
         return _table(rows)
 
     return run
@@ -204,7 +205,7 @@ def _cut(width: int, block: int, as_is: bool):
     return run
 
 
-def repeat_classes(docs: DataFrame, text_col: str = "text", width: int = 35, as_is: bool = False) -> DataFrame:
+def repeat_classes(docs: DataFrame, text_col: str = "text", width: int = 35, as_is: bool = False, copies: DataFrame | None = None) -> DataFrame:
     """One row per distinct text: ``k1, k2, n_words, n_removed, kept_text, kept_sha256, spans``.
 
     The digest is made before texts are shuffled, so a caller that takes only it moves no
@@ -212,11 +213,15 @@ def repeat_classes(docs: DataFrame, text_col: str = "text", width: int = 35, as_
     and all.
 
     ``spans`` are the maximal exact repeats, in words.  Copies of a text are taken
-    into account, so a text of two rows or more has no word left if it has a window.
+    into account, so a text of two rows or more has no word left if it has a window;
+    ``copies`` may give the rows of each text, as :func:`text_copies` counts them.  Null and
+    empty texts are one class without words.  Other columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
+    copies = text_copies(docs, text_col) if copies is None else copies
     block = (width + 1) // 2
-    parts = parts_for(text_bytes(docs, text_col))
-    buckets = Buckets(parts)
+    total = text_bytes(docs, text_col)
+    parts, buckets = parts_for(total), Buckets(buckets_for(total))
     texts = dealt_texts(docs, text_col, parts)
     sent = texts.groupBy("part").applyInArrow(_probe(buckets, width, block), _SENT_SQL)
     hits = sent.groupBy("bucket").applyInArrow(_repeated(_BLOCK, np.uint32), _SENT_SQL)
@@ -224,8 +229,7 @@ def repeat_classes(docs: DataFrame, text_col: str = "text", width: int = 35, as_
     again = windows.groupBy("bucket").applyInArrow(_repeated(0, np.uint64), _SENT_SQL)
     kept = texts.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(_cut(width, block, as_is), _KEPT_SQL)
     kept = kept.withColumn("kept_sha256", F.sha2("kept_text", 256))
-    copies = docs.select(*text_key(F.col(text_col))).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    all_gone = (F.col("copies") > 1) & (F.col("n_words") >= width)
+    all_gone = (F.col("n") > 1) & (F.col("n_words") >= width)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("length")))
     return kept.join(copies, ["k1", "k2"]).select(
         "k1", "k2", "n_words",
@@ -245,10 +249,16 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = 35, ke
     that has one of the new names, the new one takes its place.  An empty table gives
     an empty result.
     """
-    classes = repeat_classes(docs, text_col, width, as_is).select("k1", "k2", "n_words", "n_removed", "kept_text")
+    copies = text_copies(docs, text_col)
+    classes = repeat_classes(docs, text_col, width, as_is, copies).select("k1", "k2", "n_words", "n_removed", "kept_text")
     a, b = free_name(docs.columns, "k1"), free_name(docs.columns, "k2")
     keys = [x.alias(n) for x, n in zip(text_key(F.col(text_col)), (a, b), strict=True)]
     new = {"n_words", "n_removed", "kept_text"}
-    own = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    own = [F.col(f"`{c}`") for c in names]
     rows = docs.select(*own, *keys)
-    return rows.join(classes.withColumnsRenamed({"k1": a, "k2": b}), [a, b]).select(*own, *sorted(new))
+    renamed = {"k1": a, "k2": b}
+    # rows of one text are told apart by their other columns
+    draw = hashable(docs, [c for c in names if c != text_col])
+    out = spread_join(rows, classes.withColumnsRenamed(renamed), [a, b], draw, n_rows(copies), counts=copies.withColumnsRenamed(renamed))
+    return out.select(*own, *sorted(new))
