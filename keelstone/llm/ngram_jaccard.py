@@ -23,17 +23,13 @@ never expanded: each posting list is compared with a few of its groups (hubs), t
 links found are closed, and the lists that still hold several components go on
 with more hubs.  A clique of near copies takes a linear number of comparisons.
 
-A list that is longer than that, of documents that share a frequent shingle but mostly do
-not link, is not compared all with all: its documents' shingles are dealt by hash into more
-parts than sets that link can differ in, so these are equal in one part at least, and only
-documents with an equal part, of several shingles as a rule, are compared.  No link between
-different components can be missed.
+Of a list that is longer than that, of documents that share a frequent shingle but mostly do
+not link, only those are compared whose places leave room for a link, in blocks over
+many tasks.  No link between different components can be missed.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,12 +40,12 @@ from keelstone.llm._common import buckets_for, discard, materialise, parts_for,
 from keelstone.llm._words import Buckets, chunks, ngrams, word_hashes
 from keelstone.llm.components import connected
 
-#: Groups of a posting list that a round compares with all others; the last round joins the documents of longer lists by parts.
+#: Groups of a posting list that a round compares with all others; the last round compares longer lists in blocks.
 HUBS = (2, 64, None)
 #: Members of two groups that are compared all with all if their representatives do not link; larger groups wait for the last round.
 SPLIT = 64
-#: Documents with an equal part that a task compares with all others that have it.
-BLOCK = 1024
+#: Documents of a list that a task compares with the whole of it.
+BLOCK = 256
 #: Hashes of a bucket that are sorted at a time.
 BUCKET_KEYS = 4_000_000
 
@@ -233,47 +229,27 @@ def _candidates(posts: DataFrame, live: DataFrame, hubs: int, num: int, den: int
     return met.where(_possible(num, den)).select(F.least("sid", "h_sid").alias("sid1"), F.greatest("sid", "h_sid").alias("sid2")).distinct()
 
 
-def part_keys(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Keys of parts of shared shingles such that any two nodes that link have one in common: ``key, node``.
+def _last_pairs(nodes: DataFrame, comps: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``x, y`` of nodes of different components that meet in the lists of ``tokens``, within the bounds.
 
-    Sets that link differ in at most ``d = (den - num) / (den + num) * (n + n')`` shingles.
-    Dealt by hash into more than ``d`` parts, they are equal in one.  Sizes are taken in
-    steps of ``den / num``; a link joins nodes of one step or of neighbours, so each node is
-    dealt for its own step and the next, with as many parts as the step's largest sets ask
-    for.  A key is a part's hash.  Empty parts have none, unless a node has so few others that
-    its links may be equal in empty parts alone.
+    A node stays in a list only if its position there leaves room for a link with the smallest
+    set that it may have one with; the smaller of a pair has to leave room for a link with
+    a set of its own size.  Blocks of these meet the whole list, so a list is shared out
+    over many tasks.
     """
-    # a little more than den / num, so that rounding parts no link from its step
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num * 1.0001))).cast("int")
-    top = F.pow(F.lit(den / num * 1.0001), F.col("step") + 1)
-    most = F.ceil(F.lit((den - num) / (den + num)) * 2 * top).cast("long")
-    rows = nodes.select("node", "own", "shared", F.explode(F.array(step, step + 1)).alias("step"))
-    rows = rows.select("node", "own", "step", most.alias("d"), (most + F.floor(most / 2) + 1).alias("parts"), F.explode("shared").alias("token"))
-    mixed = F.xxhash64(F.lit("part"), "token")
-    rows = rows.groupBy("node", "own", "step", "d", "parts", F.pmod(mixed, F.col("parts")).alias("part")).agg(F.bit_xor(F.xxhash64(F.lit("set"), "token")).alias("hash"))
-    full = rows.groupBy("node", "own", "step", "d", "parts").agg(F.collect_set("part").alias("there"))
-    few = full.where(F.size("there") <= F.col("d") - F.col("own")).select("node", "step", F.explode(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), "there")).alias("part"))
-    keys = rows.select("node", "step", "part", "hash").unionByName(few.withColumn("hash", F.lit(0).cast("long")))
-    return keys.select(F.xxhash64("step", "part", "hash").alias("key"), "node")
-
-
-def _last_pairs(nodes: DataFrame, comps: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``x, y`` of nodes of different components that hold any of ``tokens`` in their prefix and have a part in common."""
-    posts = nodes.select("node", F.explode("prefix").alias("token"))
-    total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("s")).first()["s"]
-    some = spread_join(posts, tokens, ["token"], ["node"], total).select("node").distinct()
-    keys = part_keys(nodes.join(some, "node"), num, den)
-    about = nodes.select("node", "n", (F.col("n") - F.col("own")).alias("common")).join(comps.select("node", F.xxhash64("comp").alias("cid")), "node")
-    lists = materialise(keys.withColumnRenamed("key", "token").join(about, "node"), "lists")
-    live = materialise(_live(lists), "live")
-    # a list may be long all the same: blocks of it meet the whole of it
+    need = F.ceil(F.lit(num) * F.col("n") / den)
+    able = F.lit(den + num) * (F.col("n") - F.col("pos")) >= num * (F.col("n") + need)
+    index = F.lit(den + num) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")
+    posts = nodes.select("node", "n", "own", F.posexplode("prefix").alias("i", "token")).withColumn("pos", F.col("own") + F.col("i")).where(able)
+    posts = spread_join(posts.drop("own", "i"), tokens, ["token"], ["node"], nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("s")).first()["s"])
+    lists = materialise(posts.join(comps.select("node", F.xxhash64("comp").alias("cid")), "node"), "lists")
+    live = materialise(_live(lists, F.count_if(index).alias("indexed")).where("indexed > 0"), "live")
     lists_live = spread_join(lists, live, ["token"], ["node"], lists.count())
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    one = lists_live.select("token", *[F.col(c).alias(f"h_{c}") for c in ("node", "cid", "n", "common")], F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    two = lists_live.select("token", "node", "cid", "n", "common", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    blocks = F.ceil(F.col("indexed") / BLOCK).cast("int")
+    one = lists_live.where(index).select("token", *[F.col(c).alias(f"h_{c}") for c in ("node", "cid", "n", "pos")], F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    two = lists_live.select("token", "node", "cid", "n", "pos", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     larger = (F.col("h_n") < F.col("n")) | ((F.col("h_n") == F.col("n")) & (F.col("h_node") < F.col("node")))
-    fits = (den * F.col("h_n") >= num * F.col("n")) & (F.lit(den + num) * F.least("common", "h_common") >= num * (F.col("n") + F.col("h_n")))
-    met = one.join(two, ["token", "block"]).where((F.col("h_cid") != F.col("cid")) & larger & fits)
+    met = one.join(two, ["token", "block"]).where((F.col("h_cid") != F.col("cid")) & larger & _possible(num, den))
     out = materialise(met.select(F.col("h_node").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
     discard(lists, live)
     return out

@@ -74,27 +74,6 @@ def test_a_shingle_that_two_thousand_documents_share(spark, monkeypatch):
     assert sum(seen) < 20 * len(texts)
 
 
-def test_every_part_key_of_a_link_is_shared(spark):
-    rng = np.random.default_rng(6)
-    rows = []
-    for i in range(300):
-        n = int(rng.integers(1, 60))
-        base = rng.choice(10**9, size=n, replace=False).tolist()
-        other = [x for x in base if rng.random() > 0.08] + rng.choice(10**9, size=int(rng.integers(0, 1 + n // 12)), replace=False).tolist()
-        own = int(rng.integers(0, 1 + n // 10))
-        rows += [(2 * i, n, own, base[: n - own]), (2 * i + 1, len(other), 0, other)]
-    rows = [r for r in rows if r[3]]
-    df = spark.createDataFrame(rows, "node long, n long, own long, shared array<long>")
-    keys = {}
-    for r in ngram_jaccard.part_keys(df, 4, 5).collect():
-        keys.setdefault(r["node"], set()).add(r["key"])
-    sets = {r[0]: set(r[3]) for r in rows}
-    sizes = {r[0]: r[1] for r in rows}
-    links = [(2 * i, 2 * i + 1) for i in range(300) if 2 * i in sets and 2 * i + 1 in sets]
-    links = [(a, b) for a, b in links if 5 * len(sets[a] & sets[b]) >= 4 * (sizes[a] + sizes[b] - len(sets[a] & sets[b]))]
-    assert len(links) > 50 and all(keys[a] & keys[b] for a, b in links)
-
-
 def test_a_text_of_a_third_of_all_rows(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     texts = [passage if i % 3 == 0 else f"own {i} {passage if i % 50 == 1 else 'text'}" for i in range(900)]
