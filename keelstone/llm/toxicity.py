@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelstone.llm._common import materialise, release
+from keelstone.llm._common import discard, materialise, release
 from keelstone.llm.boosting import BoostedTrees, isotonic
 
 #: Labelled rows that the model is fitted on, at most.
@@ -192,17 +192,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fits on labelled documents whose id is not held out, ``max_rows`` of them at most.
 
     Null labels and labels of no document are left out; of several labels of one id the
-    largest counts.  Without both classes the model gives the prior to every text.
+    largest counts, and of several texts the smallest.  Without both classes the model gives
+    the prior to every text.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(max_rows).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    # one text an id, so that repeated ids add no rows
+    rows = rows.groupBy("id", "y", "fold").agg(F.min("text").alias("text"))
     rows = materialise(rows.select("id", "text", "y", "fold"), "training")
     terms = learned_terms(rows)
     size = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count(F.lit(1)).alias("n")).first()
     prior = (size["p"] + 0.5) / (size["n"] + 2)
     if not 0 < size["p"] < size["n"]:
+        discard(rows)
         return ToxicityModel(None, {}, np.empty(0), np.empty(0), prior)
     rate = size["p"] / size["n"]
     lexicons = [tuple(sorted(_weights(terms, f, rate).items())) for f in range(FOLDS)]
@@ -213,7 +217,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("fold"), pa.array(f, pa.list_(pa.float64()))], names=["id", "y", "fold", "x"])
 
     schema = T.StructType([rows.schema["id"], rows.schema["y"], rows.schema["fold"], T.StructField("x", T.ArrayType(T.DoubleType()))])
-    table = rows.mapInArrow(features, schema).orderBy("id").toArrow()  # max_rows rows, or so, of 24 numbers
+    table = rows.mapInArrow(features, schema).orderBy("id").toArrow()  # at most max_rows rows of 24 numbers
+    discard(rows)
     x = np.array(table["x"].to_pylist(), dtype=np.float64)
     y, fold = table["y"].to_numpy().astype(np.float64), table["fold"].to_numpy()
     # a leaf may be as small as a quarter of the rarer class, so few labels still split
