@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelstone.llm._common import free_name, materialise, text_key
+from keelstone.llm._common import free_name, materialise, n_rows, spread_join, text_copies, text_key
 from keelstone.llm.decontamination import text_hits
 from keelstone.llm.ngram_jaccard import ngram_jaccard
 from keelstone.llm.packing import pack
@@ -69,7 +69,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     a, b = free_name(docs.columns, "k1"), free_name(docs.columns, "k2")
     keys = [c.alias(n) for c, n in zip(text_key(F.col("text")), (a, b), strict=True)]
     gone = materialise(hits.select(F.col("k1").alias(a), F.col("k2").alias(b)), "contaminated")
-    return docs.select("*", *keys).join(gone, [a, b], "left_anti").select(docs.columns)
+    copies = text_copies(docs, "text").withColumnsRenamed({"k1": a, "k2": b})
+    kept = spread_join(docs.select("*", *keys), gone, [a, b], ["doc_id"], n_rows(copies), "left_anti", counts=copies)
+    return kept.select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
