@@ -216,14 +216,24 @@ def _possible(num: int, den: int) -> Column:
     return size & ((den + num) * most >= num * (F.col("n") + F.col("h_n")))
 
 
+def _room(num: int, den: int) -> tuple[Column, Column]:
+    """Whether a post's position leaves room for a link at all, and for one with a set that is no smaller.
+
+    The first asks for room for a link with the smallest set that there may be one with; the
+    smaller set of a pair that links has to have the second.
+    """
+    have, need = F.lit(den + num) * (F.col("n") - F.col("pos")), F.ceil(F.lit(num) * F.col("n") / den)
+    return have >= num * (F.col("n") + need), have >= 2 * num * F.col("n")
+
+
 def _candidates(posts: DataFrame, live: DataFrame, hubs: int, num: int, den: int) -> DataFrame:
     """Pairs of subgroups of different components that share a live prefix shingle, one of them a hub, within the bounds.
 
-    Hubs are the subgroups of a shingle with the fewest shingles of their own, as the least
+    Hubs are, of the subgroups that can be the smaller of a pair, those of a shingle with the fewest shingles of their own, as the least
     altered copy of a text has the most links.  Only they are ranked, so no task sorts a whole list.
     """
     rank = Window.partitionBy("token").orderBy("own", "sid")
-    hub = posts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs).join(live.select("token"), "token")
+    hub = posts.where("index").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= hubs).join(live.select("token"), "token")
     hub = hub.select("token", *[F.col(c).alias(f"h_{c}") for c in ("sid", "cid", "n", "pos")])
     met = spread_join(posts, hub, ["token"], ["sid"], posts.count()).where(F.col("h_cid") != F.col("cid"))
     return met.where(_possible(num, den)).select(F.least("sid", "h_sid").alias("sid1"), F.greatest("sid", "h_sid").alias("sid2")).distinct()
@@ -237,9 +247,7 @@ def _last_pairs(nodes: DataFrame, comps: DataFrame, tokens: DataFrame, num: int,
     a set of its own size.  Blocks of these meet the whole list, so a list is shared out
     over many tasks.
     """
-    need = F.ceil(F.lit(num) * F.col("n") / den)
-    able = F.lit(den + num) * (F.col("n") - F.col("pos")) >= num * (F.col("n") + need)
-    index = F.lit(den + num) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")
+    able, index = _room(num, den)
     posts = nodes.select("node", "n", "own", F.posexplode("prefix").alias("i", "token")).withColumn("pos", F.col("own") + F.col("i")).where(able)
     posts = spread_join(posts.drop("own", "i"), tokens, ["token"], ["node"], nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("s")).first()["s"])
     lists = materialise(posts.join(comps.select("node", F.xxhash64("comp").alias("cid")), "node"), "lists")
@@ -295,8 +303,10 @@ def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
         member = kept(subs.select("sid", "node"), "members")
         subs = kept(subs.groupBy("sid", "comp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix")), "subs")
         posts = subs.select("sid", F.xxhash64("comp").alias("cid"), "m", "n", "own", F.posexplode("prefix").alias("i", "token"))
-        posts = kept(posts.select("token", "sid", "cid", "m", "n", "own", (F.col("own") + F.col("i")).alias("pos")), "posts")
-        live = kept(_live(posts, F.max("m").alias("m")), "live")
+        able, index = _room(num, den)
+        posts = posts.select("token", "sid", "cid", "m", "n", "own", (F.col("own") + F.col("i")).alias("pos"))
+        posts = kept(posts.where(able).withColumn("index", index), "posts")
+        live = kept(_live(posts, F.max("m").alias("m"), F.count_if("index").alias("indexed")).where("indexed > 0"), "live")
         if hubs is None:
             # lists that no round has compared whole
             rest = live.select("token") if left is None else live.select("token").join(left.select("token"), "token", "left_semi")
@@ -323,7 +333,7 @@ def class_components(classes: DataFrame, num: int, den: int) -> DataFrame:
             both = apart.select(F.col("sid1").alias("sid"), "sid2").join(member, "sid").select(F.col("sid2").alias("sid"), F.col("node").alias("x"))
             both = kept(both.join(member, "sid").select("x", F.col("node").alias("y")).distinct(), "members")
             comps = close(comps, both)
-        left = live.where((F.col("size") > hubs + 1) | (F.col("m") > SPLIT))
+        left = live.where((F.col("indexed") > hubs) | (F.col("m") > SPLIT))
         done = pairs.where("m1 = 1 and m2 = 1").select(F.least("rep1", "rep2").alias("rep1"), F.greatest("rep1", "rep2").alias("rep2"))
         done = done.unionByName(done.select(F.col("rep2").alias("rep1"), F.col("rep1").alias("rep2")))
         tested = done if tested is None else tested.unionByName(done).distinct()
