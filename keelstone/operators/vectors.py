@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Bytes of vectors that are sent to every task; a larger base is searched in blocks.
 BROADCAST_BYTES = 64_000_000
+#: Bytes of the distances that a task holds at a time, several times over.
+MATRIX_BYTES = 16_000_000
 METRICS = ("l2sq", "l2", "cosine", "dot")
 
 
@@ -49,8 +48,9 @@ def _near(q_ids, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric:
     norms = (x * x).sum(axis=1)
     mine = np.array(q_ids.to_pylist(), dtype=object)
     rows, near, dist = [], [], []
-    for at in range(0, len(q), 1024):
-        part = q[at : at + 1024]
+    step = max(1, MATRIX_BYTES // (8 * max(1, len(x))))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
         dot = part @ x.T
         own = (part * part).sum(axis=1)[:, None]
         if metric in ("l2sq", "l2"):
@@ -157,32 +157,21 @@ def expand_pairs(hits: DataFrame, pairs: DataFrame, idioms: DataFrame) -> DataFr
     return every.withColumn("pos", F.row_number().over(pos)).select("query_id", "pos", "kind", "id", "via")
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(word: str, dim: int) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def encode(text: Column, dim: int = 64) -> Column:
     """V0: the default encoder: words hashed by md5 into ``dim`` buckets, counted, scaled to length 1.
 
     Words are runs of lower-cased ASCII letters and digits; without any, the vector is zero.
+    Built-in functions only, so it runs in the JVM.
     """
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(texts: pd.Series) -> pd.Series:
-        import re
-
-        word = re.compile(r"[a-z0-9]+")
-        out = []
-        for t in texts:
-            v = np.zeros(dim)
-            for w in word.findall((t or "").translate(_ASCII_LOWER)):
-                v[_bucket(w, dim)] += 1
-            size = np.sqrt((v * v).sum())
-            out.append(v / size if size else v)
-        return pd.Series(out)
-
-    return run(text)
-
-
-_ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.array_remove(F.split(low, "[^a-z0-9]+"), "")
+    buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+    count = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda v: _let(size(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    return _let(_let(buckets, count), scaled)
