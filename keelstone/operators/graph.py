@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,6 +66,18 @@ def chained(rows: DataFrame, by: list[str], order: list[str], key: str) -> DataF
     return rows.withColumn("predecessor", F.lag(key).over(w)).withColumn("successor", F.lead(key).over(w))
 
 
+def next_of(rows: DataFrame, by: list[str], order: list[str], key: str, wanted: Column, name: str) -> DataFrame:
+    """Forward as-of: the ``key`` of the first later row of the same group that fulfils ``wanted``."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    return rows.withColumn(name, F.first(F.when(wanted, F.col(key)), ignorenulls=True).over(w))
+
+
+def last_of(rows: DataFrame, by: list[str], order: list[str], key: str, wanted: Column, name: str) -> DataFrame:
+    """Backward as-of: the ``key`` of the last earlier row of the same group that fulfils ``wanted``."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.last(F.when(wanted, F.col(key)), ignorenulls=True).over(w))
+
+
 def first_on_path(paths: DataFrame, vertices: DataFrame, wanted) -> DataFrame:
     """The first vertex after the start of each path that fulfils ``wanted`` (a condition on ``vertices``)."""
     steps = paths.select("start", F.posexplode("path").alias("pos", "id")).where("pos > 0")

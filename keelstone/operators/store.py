@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.observation import Observation
 from pyspark.sql.window import Window
 
 
@@ -32,6 +33,19 @@ def append_new(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Seque
     return old.unionByName(batch.join(old.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
+def append_rows(rows: DataFrame, path: str) -> int:
+    """K8: rows added to a Parquet table, which is made if it is absent; how many were added."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def truncate(spark: SparkSession, path: str) -> None:
+    """A Parquet table without its rows; its columns stay."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
 def set_list(rows: DataFrame, key: str, value, column: str, items: Column) -> DataFrame:
     """K9: one list column of the row with a key."""
     return rows.withColumn(column, F.when(F.col(key) == value, items).otherwise(F.col(column)))

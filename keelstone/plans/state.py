@@ -29,6 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file to any store that Spark can open."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def materialise(df: DataFrame, name: str = "state") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 

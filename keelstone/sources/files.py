@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstone.functions import patterns as P
 
+_LOG = logging.getLogger(__name__)
 LANGUAGE_FILES = {"c": "*.{c,h}", "cpp": "*.{cpp,cc,cxx,hpp,h,hxx}"}
 
 
@@ -50,12 +53,29 @@ def page_sections(pages: DataFrame, body: Column, most: int = 40_000, mark: str
     return pages.withColumn("section", F.when(cut, F.concat(F.substring(body, 1, most), F.lit(mark))).otherwise(body))
 
 
-def read_sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Review sessions of JSON files; one that cannot be read is left out."""
-    rows = spark.read.json(path, schema=schema + ", _corrupt_record string", multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+def read_sessions(spark: SparkSession, path: str, schema: str, one_a_file: bool = True) -> DataFrame:
+    """Review sessions of JSON files, one in each or, as :func:`write_sessions` writes them, one a line; what cannot be read is left out."""
+    rows = spark.read.json(path, schema=schema + ", _corrupt_record string", multiLine=one_a_file, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
     return rows.where("_corrupt_record is null").drop("_corrupt_record")
 
 
+def write_sessions(sessions: DataFrame, path: str) -> None:
+    """Review sessions as JSON, one a line; null fields are left out."""
+    sessions.write.json(path)
+
+
+def present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there; the others are warned of."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).globStatus(path):
+            found.append(p)
+        else:
+            _LOG.warning("not found, left out: %s", p)
+    return found
+
+
 def table_or_empty(spark: SparkSession, name: str, schema) -> DataFrame:
     """A table, or an empty one of the schema if there is none."""
     return spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)
