@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keelstone.llm._common import buckets_for, discard, materialise, parts_for, release, spread_join, text_bytes, text_key
+from keelstone.llm._common import SHARES, buckets_for, discard, materialise, parts_for, release, spread_join, text_bytes, text_key
 from keelstone.llm._words import Buckets, chunks, ngrams, word_hashes
 from keelstone.llm.components import connected
 
@@ -44,8 +44,8 @@ from keelstone.llm.components import connected
 HUBS = (2, 64, None)
 #: Members of two groups that are compared all with all if their representatives do not link; larger groups wait for the last round.
 SPLIT = 64
-#: Documents of a list that a task compares with the whole of it.
-BLOCK = 256
+#: Documents of a hot list that a task compares with the whole of it, and posts that a hot list has at least.
+BLOCK, HOT_POSTS = 256, 4096
 #: Hashes of a bucket that are sorted at a time.
 BUCKET_KEYS = 4_000_000
 
@@ -244,22 +244,27 @@ def _last_pairs(nodes: DataFrame, comps: DataFrame, tokens: DataFrame, num: int,
 
     A node stays in a list only if its position there leaves room for a link with the smallest
     set that it may have one with; the smaller of a pair has to leave room for a link with
-    a set of its own size.  Blocks of these meet the whole list, so a list is shared out
-    over many tasks.
+    a set of its own size.  Of a hot list blocks of these meet the whole of it, so it is
+    shared out over many tasks.
     """
     able, index = _room(num, den)
     posts = nodes.select("node", "n", "own", F.posexplode("prefix").alias("i", "token")).withColumn("pos", F.col("own") + F.col("i")).where(able)
     posts = spread_join(posts.drop("own", "i"), tokens, ["token"], ["node"], nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("s")).first()["s"])
     lists = materialise(posts.join(comps.select("node", F.xxhash64("comp").alias("cid")), "node"), "lists")
-    live = materialise(_live(lists, F.count_if(index).alias("indexed")).where("indexed > 0"), "live")
-    lists_live = spread_join(lists, live, ["token"], ["node"], lists.count())
-    blocks = F.ceil(F.col("indexed") / BLOCK).cast("int")
-    one = lists_live.where(index).select("token", *[F.col(c).alias(f"h_{c}") for c in ("node", "cid", "n", "pos")], F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    two = lists_live.select("token", "node", "cid", "n", "pos", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    # fewer than SHARES lists can hold that large a share of the posts
+    often = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.count_if(index).alias("indexed"))
+    often = often.where((F.col("size") > HOT_POSTS) & (F.col("size") * SHARES > lists.count()))
+    hot = {r["token"]: -(-r["indexed"] // BLOCK) or 1 for r in often.collect()}
+    one = lists.where(index).select("token", *[F.col(c).alias(f"h_{c}") for c in ("node", "cid", "n", "pos")], F.lit(0).alias("block"))
+    two = lists.select("token", "node", "cid", "n", "pos", F.lit(0).alias("block"))
+    if hot:
+        blocks, warm = F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("token")).cast("int"), F.col("token").isin(*hot)
+        one = one.withColumn("block", F.when(warm, F.pmod(F.xxhash64("h_node"), blocks).cast("int")).otherwise(0))
+        two = two.where(~warm).unionByName(two.where(warm).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))))
     larger = (F.col("h_n") < F.col("n")) | ((F.col("h_n") == F.col("n")) & (F.col("h_node") < F.col("node")))
     met = one.join(two, ["token", "block"]).where((F.col("h_cid") != F.col("cid")) & larger & _possible(num, den))
     out = materialise(met.select(F.col("h_node").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
-    discard(lists, live)
+    discard(lists)
     return out
 
 

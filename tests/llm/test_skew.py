@@ -49,6 +49,7 @@ def test_frequent_shingles_lose_no_link(spark, monkeypatch, hubs):
     monkeypatch.setattr(ngram_jaccard, "HUBS", hubs)
     monkeypatch.setattr(ngram_jaccard, "SPLIT", 2)
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 3)
+    monkeypatch.setattr(ngram_jaccard, "HOT_POSTS", 2)
     monkeypatch.setattr(ngram_jaccard, "BUCKET_KEYS", 50)
     texts = some_texts(3, 60, 12, 5) + some_texts(4, 40, 30, 12) + ["a b c d e", "a b c d f", "a b c d", "b c d e f", "a b c d e f"]
     got = ngram_jaccard.ngram_jaccard(docs(spark, texts), k=3, num=4, den=5).collect()
