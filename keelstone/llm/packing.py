@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import unicodedata
 import zlib
 from bisect import bisect_left
@@ -21,6 +22,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +31,40 @@ from pyspark.sql.window import Window
 
 from keelstone.llm._common import materialise, release
 
-#: Whitespace-free chunks whose ids a worker remembers: twice as many, at about 200 bytes each.
-CACHED_CHUNKS = 200_000
-#: Chunks that are encoded in one call.
+#: Words whose ids a worker remembers, and the bytes that they and their ids may have.
+KNOWN_WORDS, KNOWN_BYTES = 600_000, 48 << 20
+#: Words that are encoded in one call.
 TOGETHER = 4096
+#: Bytes of text that are encoded at a time; a longer text is cut at white space.
+RUN_BYTES = 4 << 20
 #: Signs at the end of a chunk, after a letter or digit, are a token group of their own.
-_TAIL = re.compile(rb"(?<=[a-z0-9])[!-/:-@\[-`{-~]+$")
+SIGNS = string.punctuation
+_WHITE = re.compile(rb"[\x09-\x0D\x20]")
+_LETTER_OR_DIGIT = np.array([chr(b) in string.ascii_lowercase + string.digits for b in range(256)])
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``values[starts[i] : starts[i] + sizes[i]]`` for each ``i`` of ``which``, put together."""
+    out, done = np.empty(int(sizes[which].sum()), values.dtype), 0
+    for at in range(0, len(which), 1 << 16):
+        some = which[at : at + (1 << 16)]
+        n = sizes[some]
+        ends = np.cumsum(n)
+        index = np.repeat(starts[some] - (ends - n), n)
+        index += np.arange(len(index))
+        out[done : done + len(index)] = values[index]
+        done += len(index)
+    return out
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an array of large strings, and where each of them begins and the last ends."""
+    _, offsets, data = words.buffers()
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset)
 
 
 class ChunkEncoder:
@@ -42,8 +72,10 @@ class ChunkEncoder:
 
     ``word_bpe_49k.json`` is one: it lower-cases, and its ids of a text are those of the
     text's chunks between ASCII white space, put together; signs that end a chunk are
-    always apart from the letters before them.  A text with ``<|``, which may begin a
-    special token, is encoded as a whole.  Ids are little-endian unsigned 32-bit.
+    always apart from the letters before them.  So only the different words of a run of
+    texts, without such signs, that are not remembered are encoded; ids of chunks and
+    texts are put together in arrays.  A text with ``<|``, which may begin a special
+    token, is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -51,77 +83,131 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        # Words that are remembered, their ids, where those begin, and the last call that used each.
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.used, self.calls = np.zeros(0, np.int64), 0
 
     def _plain(self, word: str) -> bool:
-        """Whether a chunk is letters and stays so, so that just its last token ends a word."""
+        """Whether a word is letters and stays so, so that just its last token ends a word."""
         return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word) and word.lower().isalpha())
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Ids of chunks that are not known: of those known before, of chunks with signs at the end, of words, of others."""
-        known, before = self.known, self.before
-        tails, words, rest = [], set(), set()
-
-        def sort(c: bytes) -> None:
-            if (old := before.get(c)) is not None:
-                known[c] = old
-            elif self._plain(c.decode()):
-                words.add(c)
-            else:
-                rest.add(c)
-
-        for c in new:
-            if c in before or not (m := _TAIL.search(c)):
-                sort(c)
-                continue
-            parts = c[: m.start()], m[0]
-            tails.append((c, *parts))
-            for p in parts:
-                if p not in known:
-                    sort(p)
-        listed = list(words)
-        for at in range(0, len(listed), TOGETHER):
-            some = listed[at : at + TOGETHER]
-            (together,) = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
-            ids = np.array(together.ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+    def _forget(self) -> None:
+        """Keeps the half of the words that was used last, if they are too many."""
+        if len(self.words) > KNOWN_WORDS or self.words.nbytes + self.ids.nbytes > KNOWN_BYTES:
+            kept = np.sort(np.argsort(-self.used, kind="stable")[: min(len(self.words), KNOWN_WORDS) // 2])
+            sizes = np.diff(self.bounds)
+            self.words, self.used = self.words.take(pa.array(kept)), self.used[kept]
+            self.ids, self.bounds = _gather(self.ids, self.bounds, sizes, kept), _bounds(sizes[kept])
+
+    def _learn(self, new: pa.Array) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """The words' numbers in the order in which they were encoded, their ids, and how many each has."""
+        listed = new.to_pylist()
+        order, ids, sizes, plain, rest = [], [], [], [], []
+        for i, word in enumerate(listed):
+            (plain if self._plain(word) else rest).append(i)
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            (together,) = self.tokenizer.encode_batch_fast([" ".join([listed[i] for i in some])], add_special_tokens=False)
+            found = np.array(together.ids, dtype=np.uint32)
+            stops = np.flatnonzero(self.ends[found]) + 1
             if len(stops) != len(some):
-                rest.update(some)
+                rest += some
                 continue
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(some, stops, strict=True):
-                known[c] = raw[4 * a : 4 * b]
-                a = b
-        listed = list(rest)
-        for at in range(0, len(listed), TOGETHER):
-            some = listed[at : at + TOGETHER]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        for c, body, tail in tails:
-            known[c] = known[body] + known[tail]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_CHUNKS:
-            self.before, self.known = self.known, {}
-        flat, cuts, whole = [], [0], {}
-        for i, text in enumerate(texts):
-            raw = text.encode()
-            if b"<|" in raw:
-                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            else:
-                flat += raw.lower().split()
-            cuts.append(len(flat))
-        ids = list(map(self.known.get, flat))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if missing:
-            self._learn({flat[i] for i in missing})
-            for i in missing:
-                ids[i] = self.known[flat[i]]
-        return [whole[i] if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(pairwise(cuts))]
+            order += some
+            ids.append(found)
+            sizes.append(np.diff(stops, prepend=0))
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([listed[i] for i in some], add_special_tokens=False)]
+            order += some
+            ids.append(np.array([x for e in found for x in e], dtype=np.uint32))
+            sizes.append(np.array([len(e) for e in found], dtype=np.int64))
+        return order, ids, sizes
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """Numbers of different words among those that are remembered; the new ones are learned."""
+        self._forget()
+        self.calls += 1
+        # The hash table is made of the fewer words.
+        place = pc.index_in(self.words, value_set=words).fill_null(-1).to_numpy()
+        there = np.flatnonzero(place >= 0)
+        at = np.full(len(words), -1, dtype=np.int64)
+        at[place[there]] = there
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            taken = words.take(pa.array(new))
+            order, ids, sizes = self._learn(taken)
+            at[new[order]] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, taken.take(pa.array(order, pa.int64()))])
+            self.ids = np.concatenate([self.ids, *ids])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.used[at] = self.calls
+        return at
+
+    def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different chunks, and how many each has: those of its word and of the signs at its end."""
+        data, offsets = _bytes_of(chunks)
+        trimmed = pc.ascii_rtrim(chunks, characters=SIGNS)
+        sizes, whole = pc.binary_length(trimmed).to_numpy(), np.diff(offsets)
+        cut = np.flatnonzero((sizes > 0) & (sizes < whole))
+        cut = cut[_LETTER_OR_DIGIT[data[offsets[cut] + sizes[cut] - 1]]]
+        is_cut = np.zeros(len(chunks), dtype=bool)
+        is_cut[cut] = True
+        signs = _gather(data, offsets[:-1] + sizes, whole - sizes, cut)
+        signs = pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(_bounds((whole - sizes)[cut])), pa.py_buffer(signs))
+        parts = pa.concat_arrays([pc.if_else(pa.array(is_cut), trimmed, chunks), signs]).dictionary_encode()
+        number = self._find(parts.dictionary)[parts.indices.to_numpy()]
+        # A chunk's signs come right after its word.
+        place = np.arange(len(chunks)) + np.cumsum(is_cut) - is_cut
+        both = np.empty(len(number), np.int64)
+        both[place], both[place[cut] + 1] = number[: len(chunks)], number[len(chunks) :]
+        n = np.diff(self.bounds)
+        total = n[number[: len(chunks)]]
+        total[cut] += n[number[len(chunks) :]]
+        return _gather(self.ids, self.bounds, n, both), total
+
+    def _of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        offsets, chunks = split.offsets.to_numpy(), split.values.dictionary_encode()
+        del split
+        ids, sizes = self._of_chunks(chunks.dictionary)
+        code = chunks.indices.to_numpy()
+        return _gather(ids, np.cumsum(sizes) - sizes, sizes, code), _bounds(sizes[code])[offsets]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where those of each begin and the last end; a null text is empty."""
+        # Taken first: ``ascii_lower`` misreads large strings whose first offset is not 0, which the cast of a slice would give.
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+        special = pc.match_substring(texts, "<|")
+        at = np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()
+        low = pc.ascii_lower(pc.if_else(special, "", texts) if at else texts)
+        if len(low) == 1 and low.nbytes > RUN_BYTES:
+            found = [self._of_texts(pa.array([x], pa.large_string()))[0] for x in _segments(low[0].as_buffer().to_pybytes())]
+            ids = np.concatenate(found)
+            bounds = np.array([0, len(ids)])
+        else:
+            ids, bounds = self._of_texts(low)
+        if at:
+            each = [ids[a:b] for a, b in pairwise(bounds.tolist())]
+            for i in at:
+                each[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+            ids, bounds = np.concatenate(each), _bounds(np.array([len(x) for x in each]))
+        return ids, bounds
+
+
+def _segments(text: bytes):
+    """A text in segments of about ``RUN_BYTES``, each but the last up to a white space."""
+    at = 0
+    while at < len(text):
+        found = _WHITE.search(text, at + RUN_BYTES)
+        stop = found.end() if found else len(text)
+        yield text[at:stop]
+        at = stop
 
 
 @cache
@@ -130,16 +216,14 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def _runs(texts: list[str]):
-    """Runs of texts of about a MB, unless one is longer."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= 1 << 20:
-            yield texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield texts[at:]
+def _runs(texts: pa.Array):
+    """Runs of texts of at most ``RUN_BYTES``, unless a single one is longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 def _best_fill(left: dict[int, int], order: list[int], first: int, room: int) -> dict[int, int]:
@@ -237,10 +321,10 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
         numbers: dict[int, int] = {}
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             at, out = [], []
-            for i, ids_of_text in enumerate(x for run in _runs([t or "" for t in texts]) for x in encode(run)):
-                tokens = ids_of_text + end
+            for i, ids_of_text in enumerate(found[a:b] for found, bounds in map(encode, _runs(texts)) for a, b in pairwise(bounds.tolist())):
+                tokens = ids_of_text.astype("<u4", copy=False).tobytes() + end
                 n = len(tokens) // 4
                 for start in range(0, n, capacity):
                     size = min(capacity, n - start)
