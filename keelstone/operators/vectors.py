@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 BROADCAST_BYTES = 64_000_000
 #: Bytes of the distances that a task holds at a time, several times over.
 MATRIX_BYTES = 16_000_000
+#: Queries and rows whose products are made at a time, and pairs of those queries that are held for distances in doubles.
+QUERY_ROWS, BASE_ROWS, MAX_PAIRS = 256, 4096, 4_000_000
 METRICS = ("l2sq", "l2", "cosine", "dot")
 
 
@@ -39,15 +41,23 @@ def nearest(base: DataFrame, query: Column, k: int = 10, id_col: str = "id", vec
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    values = vectors.to_numpy(zero_copy_only=False)
-    return np.stack(values).astype(np.float64) if len(values) else np.empty((0, dim))
+    parts = vectors.chunks if isinstance(vectors, pa.ChunkedArray) else [vectors]
+    if all(not c.null_count and (c.value_lengths().to_numpy() == dim).all() for c in parts):
+        flat = [c.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim) for c in parts if len(c)]
+        return np.concatenate(flat) if flat else np.empty((0, dim))
+    return np.stack(vectors.to_numpy(zero_copy_only=False)).astype(np.float64)
 
 
-def _near(q_ids, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str, digits: int, skip_self: bool) -> pa.RecordBatch:
-    """The k nearest rows of ``x`` for every row of ``q``, ties by id."""
+def _batch(q_ids, rows: np.ndarray, near: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+    text = near.dtype == object
+    return pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows.astype(np.int64))), pa.array(near.tolist() if text else near.astype(np.int64), pa.string() if text else pa.int64()), pa.array(dist.astype(np.float64))], names=["query_id", "id", "distance"])
+
+
+def _whole(q_ids, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str, digits: int, skip_self: bool) -> pa.RecordBatch:
+    """The k nearest rows of ``x`` for every row of ``q``, ties by id, from all distances in doubles."""
     norms = (x * x).sum(axis=1)
     mine = np.array(q_ids.to_pylist(), dtype=object)
-    rows, near, dist = [], [], []
+    rows, near, dist = [np.empty(0)], [ids[:0]], [np.empty(0)]
     step = max(1, MATRIX_BYTES // (8 * max(1, len(x))))
     for at in range(0, len(q), step):
         part = q[at : at + step]
@@ -62,21 +72,84 @@ def _near(q_ids, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric:
             d = -dot
         d = np.round(d, digits)
         for i, r in enumerate(d):
-            if len(r) > k + 1:
-                edge = np.partition(r, k)[k]
-                top = np.flatnonzero(r <= edge)
-            else:
-                top = np.arange(len(r))
-            top = top[np.lexsort((ids[top], r[top]))]
-            if skip_self:
-                top = top[ids[top] != mine[at + i]]
-            top = top[:k]
+            others = np.flatnonzero(ids != mine[at + i]) if skip_self else np.arange(len(r))
+            top = others
+            if len(others) > k:
+                top = others[r[others] <= np.partition(r[others], k - 1)[k - 1]]
+                top = top if len(top) >= k else others  # the edge is no number
+            top = top[np.lexsort((ids[top], r[top]))][:k]
             rows.append(np.full(len(top), at + i))
             near.append(ids[top])
             dist.append(r[top])
-    rows, near, dist = (np.concatenate(z) if z else np.empty(0) for z in (rows, near, dist))
-    kind = pa.string() if ids.dtype == object else pa.int64()
-    return pa.RecordBatch.from_arrays([q_ids.take(pa.array(rows.astype(np.int64))), pa.array(near.tolist() if ids.dtype == object else near.astype(np.int64), kind), pa.array(dist.astype(np.float64))], names=["query_id", "id", "distance"])
+    return _batch(q_ids, np.concatenate(rows), np.concatenate(near), np.concatenate(dist))
+
+
+class _Base:
+    """Vectors to search by l2: as they are, and as floats with half their squared lengths, of which one product gives the order."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, half = ids, x, (x * x).sum(axis=1) / 2
+        self.most = float(half.max(initial=0.0))
+        self.repeats = int(np.unique(ids, return_counts=True)[1].max(initial=1))
+        self.narrow = np.concatenate([x, -half[:, None]], axis=1).astype(np.float32) if self.most < 1e30 else None
+
+    def near(self, q_ids, q: np.ndarray, k: int, metric: str, digits: int, skip_self: bool) -> pa.RecordBatch:
+        """As ``_whole``; only pairs that floats, with the bound of their error, can't exclude have distances in doubles."""
+        fits = metric in ("l2sq", "l2") and self.narrow is not None and bool(((q * q).sum(axis=1) < 1e30).all()) and 0 <= digits <= 12
+        found = []
+        for at in range(0, len(q), QUERY_ROWS):
+            own, part = q_ids.slice(at, QUERY_ROWS), q[at : at + QUERY_ROWS]
+            pairs = self._pairs(part, k + self.repeats * skip_self, metric, digits) if fits else None
+            found.append(_whole(own, part, self.ids, self.x, k, metric, digits, skip_self) if pairs is None else self._nearest(own, part, *pairs, k, metric, digits, skip_self))
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if sum(map(len, found)) else _batch(q_ids, np.empty(0), self.ids[:0], np.empty(0))
+
+    def _pairs(self, q: np.ndarray, k: int, metric: str, digits: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Rows of ``q`` and of the base that hold the ``k`` nearest and all that round to the same; None if they are too many."""
+        n, dim = len(q), q.shape[1]
+        length = np.sqrt((q * q).sum(axis=1))
+        # of the sum of dim + 1 rounded products, in any order; twice, as the edge and the pair both err
+        slack = 2 * (dim + 8) * 2.0**-24 * (length * np.sqrt(2 * self.most) + self.most) + 1e-30
+        unit = 2 * 10.0**-digits  # what can round to the same distance; a distance d apart by u is (d + u)² - d² squared
+        slack += unit if metric == "l2sq" else unit * (length + np.sqrt(2 * self.most) + unit)
+        narrow = np.concatenate([q, np.ones((n, 1))], axis=1).astype(np.float32)
+        best, edge, rows, cols, got, held = np.full((n, k), -np.inf), np.full(n, -np.inf), [], [], [], 0
+        for at in range(0, len(self.x), BASE_ROWS):
+            score = narrow @ self.narrow[at : at + BASE_ROWS].T
+            if not at and score.shape[1] > k:
+                edge = np.partition(score, -k, axis=1)[:, -k].astype(np.float64)
+            # floats next below the bound, so that none is lost to its rounding
+            bound = np.nextafter((edge - slack).astype(np.float32), np.float32(-np.inf))
+            i, j = np.divmod(np.flatnonzero(score >= bound[:, None]), score.shape[1])
+            if not len(i):
+                continue
+            held += len(i)
+            if held > MAX_PAIRS:
+                return None
+            s = score[i, j].astype(np.float64)
+            rows.append(i), cols.append(j + at), got.append(s)
+            who, what = np.concatenate([np.repeat(np.arange(n), k), i]), np.concatenate([best.ravel(), s])
+            order = np.lexsort((-what, who))
+            who, what = who[order], what[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            best = what[place < k].reshape(n, k)
+            edge = best[:, -1]
+        i, j, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(got)
+        keep = s >= (edge - slack)[i]
+        return i[keep], j[keep]
+
+    def _nearest(self, q_ids, q: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int, metric: str, digits: int, skip_self: bool) -> pa.RecordBatch:
+        if skip_self:
+            other = self.ids[cols] != np.array(q_ids.to_pylist(), dtype=object)[rows]
+            rows, cols = rows[other], cols[other]
+        d, step = np.empty(len(rows)), max(1, MATRIX_BYTES // (8 * max(1, q.shape[1])))
+        for at in range(0, len(rows), step):
+            apart = q[rows[at : at + step]] - self.x[cols[at : at + step]]
+            d[at : at + step] = np.einsum("ij,ij->i", apart, apart)
+        d = np.round(np.sqrt(d) if metric == "l2" else d, digits)
+        order = np.lexsort((self.ids[cols], d, rows))
+        rows, cols, d = rows[order], cols[order], d[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        return _batch(q_ids, rows[first], self.ids[cols[first]], d[first])
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int = 10, query_id: str = "query_id", query_vec: str = "q", id_col: str = "id", vec_col: str = "v", metric: str = "l2sq", digits: int = 6, skip_self: bool = False) -> DataFrame:
@@ -102,8 +175,9 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, query_id: str = "query
         x, ids = _matrix(table["v"], dim), np.array(table["id"].to_pylist(), dtype=id_type)
 
         def scan(batches):
+            held = _Base(ids, x)
             for batch in batches:
-                yield _near(batch.column(0), _matrix(batch.column(1), dim), ids, x, k, metric, digits, skip_self)
+                yield held.near(batch.column(0), _matrix(batch.column(1), dim), k, metric, digits, skip_self)
 
         found = asked.mapInArrow(scan, schema)
     else:
@@ -117,7 +191,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, query_id: str = "query
         def meet(q: pa.Table, b: pa.Table) -> pa.Table:
             if not q.num_rows or not b.num_rows:
                 return q.select(["query_id"]).slice(0, 0).append_column("id", pa.array([], pa.string() if text_ids else pa.int64())).append_column("distance", pa.array([], pa.float64()))
-            near = _near(q["query_id"].combine_chunks(), _matrix(q["q"], dim), np.array(b["id"].to_pylist(), dtype=id_type), _matrix(b["v"], dim), k, metric, digits, skip_self)
+            held = _Base(np.array(b["id"].to_pylist(), dtype=id_type), _matrix(b["v"], dim))
+            near = held.near(q["query_id"].combine_chunks(), _matrix(q["q"], dim), k, metric, digits, skip_self)
             return pa.Table.from_batches([near])
 
         found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(meet, schema)
@@ -146,13 +221,22 @@ def expand_pairs(hits: DataFrame, pairs: DataFrame, idioms: DataFrame) -> DataFr
     reached as a pair of an earlier hit, is not repeated; idioms are.  Returns ``query_id,
     pos, kind, id, via``.
     """
-    base = hits.select("query_id", "rank", F.lit(0).alias("step"), F.lit("hit").alias("kind"), "id", F.lit(None).cast("string").alias("via"))
-    other = hits.join(pairs, hits["id"] == pairs["at"]).select("query_id", "rank", F.lit(1).alias("step"), F.lit("pair").alias("kind"), F.col("other").alias("id"), F.col("id").cast("string").alias("via"))
-    other = other.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").select(base.columns)
-    first = Window.partitionBy("query_id", "id").orderBy("rank")
-    other = other.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    named = hits.join(idioms, hits["id"] == idioms["at"]).select("query_id", "rank", F.lit(2).alias("step"), F.lit("idiom").alias("kind"), F.col("idiom").cast(hits.schema["id"].dataType).alias("id"), F.col("id").cast("string").alias("via"))
-    every = base.unionByName(other).unionByName(named)
+    kind = hits.schema["id"].dataType
+    item = lambda step, name, c, via: F.struct(F.lit(step).alias("step"), F.lit(name).alias("kind"), c.cast(kind).alias("id"), via.cast("string").alias("via"))
+    others = pairs.groupBy("at").agg(F.collect_list(F.struct("other")).alias("others")).withColumnRenamed("at", "id")
+    named = idioms.groupBy("at").agg(F.collect_list(F.struct("idiom")).alias("idioms")).withColumnRenamed("at", "id")
+    # one pass over the hits, which may be a whole search
+    known = hits.select("query_id", "rank", "id").join(others, "id", "left").join(named, "id", "left")
+
+    def listed(step: int, name: str, c: str, field: str) -> Column:
+        none = F.slice(F.array(item(step, name, F.lit(None), F.lit(None))), 1, 0)
+        return F.coalesce(F.transform(c, lambda x: item(step, name, x[field], F.col("id"))), none)
+
+    lists = [F.array(item(0, "hit", F.col("id"), F.lit(None))), listed(1, "pair", "others", "other"), listed(2, "idiom", "idioms", "idiom")]
+    every = known.select("query_id", "rank", F.inline(F.concat(*lists)))
+    same, first = Window.partitionBy("query_id", "id"), Window.partitionBy("query_id", "id", "step").orderBy("rank")
+    seen = F.coalesce(F.max(F.col("step") == 0).over(same) & F.col("id").isNotNull(), F.lit(False))
+    every = every.withColumns({"_seen": seen, "_n": F.row_number().over(first)}).where("step <> 1 or (not _seen and _n = 1)")
     pos = Window.partitionBy("query_id").orderBy("rank", "step", "id")
     return every.withColumn("pos", F.row_number().over(pos)).select("query_id", "pos", "kind", "id", "via")
 
