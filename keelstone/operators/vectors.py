@@ -57,6 +57,7 @@ def _whole(q_ids, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric:
     """The k nearest rows of ``x`` for every row of ``q``, ties by id, from all distances in doubles."""
     norms = (x * x).sum(axis=1)
     mine = np.array(q_ids.to_pylist(), dtype=object)
+    most = k + int(np.unique(ids, return_counts=True)[1].max(initial=1)) * skip_self
     rows, near, dist = [np.empty(0)], [ids[:0]], [np.empty(0)]
     step = max(1, MATRIX_BYTES // (8 * max(1, len(x))))
     for at in range(0, len(q), step):
@@ -72,11 +73,11 @@ def _whole(q_ids, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric:
             d = -dot
         d = np.round(d, digits)
         for i, r in enumerate(d):
-            others = np.flatnonzero(ids != mine[at + i]) if skip_self else np.arange(len(r))
-            top = others
-            if len(others) > k:
-                top = others[r[others] <= np.partition(r[others], k - 1)[k - 1]]
-                top = top if len(top) >= k else others  # the edge is no number
+            top = np.arange(len(r))
+            if len(r) > most:
+                near_edge = np.flatnonzero(r <= np.partition(r, most - 1)[most - 1])
+                top = near_edge if len(near_edge) >= most else top  # the edge is no number
+            top = top[ids[top] != mine[at + i]] if skip_self else top
             top = top[np.lexsort((ids[top], r[top]))][:k]
             rows.append(np.full(len(top), at + i))
             near.append(ids[top])
